@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -157,7 +158,7 @@ def shingle_sets(column: pa.Array, k: int = 5, table: np.ndarray = SPACED) -> tu
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many bytes of text, or one text."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         offsets = np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))])
         for a, b in text_slices(offsets, most):
             yield batch.slice(a, b - a)
