@@ -33,7 +33,8 @@ from ._tokens import encoder, tokenizer_path
 
 MAGIC = b"TOK1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u4")])
-HEAD = struct.Struct("<4s32sIB3x")
+HEAD = "<4s32sIB3x"
+HEAD_SIZE = struct.calcsize(HEAD)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_docs: int = 2000, piece_ids: int = 2048, dict_bytes: int = 1 << 16, width: int = 2) -> bytes:
@@ -93,7 +94,7 @@ def write_token_files(
         size = segment = start = first = 0
 
         def segment_row(part: int) -> pa.RecordBatch:
-            blob = HEAD.pack(MAGIC, digest, len(entries), width) + np.array(entries, ENTRY).tobytes() + b"".join(frames)
+            blob = struct.pack(HEAD, MAGIC, digest, len(entries), width) + np.array(entries, ENTRY).tobytes() + b"".join(frames)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int64()), pa.array([first], pa.int64()), pa.array([start - first], pa.int64()), pa.array([blob], pa.binary())], names=["part", "segment", "first_start", "ids", "blob"])
 
         part = 0
@@ -121,14 +122,14 @@ def write_token_files(
 
 def read_document(blob: bytes, dictionary: bytes, doc_id: int) -> np.ndarray | None:
     """One document's ids from a segment, without touching the other frames."""
-    _, digest, n, width = HEAD.unpack_from(blob)
+    _, digest, n, width = struct.unpack_from(HEAD, blob)
     if digest != hashlib.sha256(dictionary).digest():
         raise ValueError("the segment was written with another dictionary")
-    index = np.frombuffer(blob, ENTRY, n, HEAD.size)
+    index = np.frombuffer(blob, ENTRY, n, HEAD_SIZE)
     at = int(np.searchsorted(index["doc_id"], doc_id))
     if at == n or index["doc_id"][at] != doc_id:
         return None
-    return _frame(blob, index[at], HEAD.size + n * ENTRY.itemsize, _unpacker(dictionary), width)
+    return _frame(blob, index[at], HEAD_SIZE + n * ENTRY.itemsize, _unpacker(dictionary), width)
 
 
 def _unpacker(dictionary: bytes) -> zstandard.ZstdDecompressor:
@@ -153,11 +154,11 @@ def read_token_files(spark: SparkSession, folder: str, *, with_ids: bool = False
         for batch in batches:
             for first, blob in zip(batch.column("first").to_pylist(), batch.column("blob"), strict=True):
                 blob = blob.as_py()
-                magic, own, n, width = HEAD.unpack_from(blob)
+                magic, own, n, width = struct.unpack_from(HEAD, blob)
                 if magic != MAGIC or own != digest:
                     raise ValueError("not a segment of this file set")
-                index = np.frombuffer(blob, ENTRY, n, HEAD.size)
-                base, crc, ids = HEAD.size + n * ENTRY.itemsize, [], []
+                index = np.frombuffer(blob, ENTRY, n, HEAD_SIZE)
+                base, crc, ids = HEAD_SIZE + n * ENTRY.itemsize, [], []
                 for entry in index:
                     x = _frame(blob, entry, base, unpack, width).astype("<u4")
                     crc.append(zlib.crc32(x.tobytes()))
