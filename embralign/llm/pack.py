@@ -53,7 +53,21 @@ def price(value: np.ndarray, size: np.ndarray, capacity: int, most: int = 40) ->
     return float(best[capacity]), patterns
 
 
-def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.003, rounds: int = 400) -> list[tuple[int, np.ndarray]]:
+def inverted(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with partial pivoting, without a threaded library's start-up and locks."""
+    n = len(a)
+    t = np.hstack([a, np.eye(n)])
+    for i in range(n):
+        j = i + int(np.abs(t[i:, i]).argmax())
+        t[[i, j]] = t[[j, i]]
+        t[i] /= t[i, i]
+        rest = t[:, i].copy()
+        rest[i] = 0
+        t -= np.outer(rest, t[i])
+    return t[:, n:]
+
+
+def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.003, rounds: int = 200) -> list[tuple[int, np.ndarray]]:
     """Patterns (times used, count of each size) that together hold the demand of every size.
 
     size ascends. Column generation with a revised simplex: the basis starts with one pattern for each
@@ -87,7 +101,7 @@ def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.00
             x[row] = ratio[row]
             pivots += 1
             if pivots % 300 == 0:
-                inverse = np.linalg.inv(basis)
+                inverse = inverted(basis)
                 x = np.maximum(inverse @ demand, 0)
     plan, left = [], demand.astype(np.int64).copy()
     for j in np.argsort(-x, kind="stable").tolist():
