@@ -67,7 +67,7 @@ def inverted(a: np.ndarray) -> np.ndarray:
     return t[:, n:]
 
 
-def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.003, rounds: int = 200) -> list[tuple[int, np.ndarray]]:
+def solve(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.003, rounds: int = 600) -> list[tuple[int, np.ndarray]]:
     """Patterns (times used, count of each size) that together hold the demand of every size.
 
     size ascends. Column generation with a revised simplex: the basis starts with one pattern for each
