@@ -227,7 +227,37 @@ def _against(percent: int):
     return run
 
 
-def _large_groups(rows: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch, hubs: int = 4, block: int = 32) -> DataFrame:
+def _blocks(percent: int):
+    """In each task, every row against every row of the block; a link for each new connection in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, "task"):
+            rep, kind = group.column("rep").to_numpy(), group.column("kind").to_numpy()
+            sets = [_set(x) for x in group.column("set").to_pylist()]
+            k = int((kind == 0).sum())
+            n = np.array([len(x) for x in sets[:k]], np.int64)
+            vocabulary, code = np.unique(np.concatenate(sets[:k]), return_inverse=True)
+            has = np.zeros((len(vocabulary) + 1, k), np.uint8)
+            has[code, np.repeat(np.arange(k), n)] = 1
+            place = {int(r): i for i, r in enumerate(rep[:k])}
+            label = np.arange(k + len(rep))
+            a, b = [], []
+            for i in range(k, len(rep)):
+                at = np.searchsorted(vocabulary, sets[i])
+                at[vocabulary[np.minimum(at, len(vocabulary) - 1)] != sets[i]] = len(vocabulary)
+                near = np.flatnonzero(linked(has[at].sum(0, dtype=np.int64), n, len(sets[i]), percent))
+                me = place.get(int(rep[i]), i)
+                for j in near.tolist():
+                    if label[j] != label[me]:
+                        a.append(int(rep[i]))
+                        b.append(int(rep[j]))
+                        label[label == label[j]] = label[me]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _large_groups(rows: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch, hubs: int = 3, block: int = 128, rows_per_task: int = 2000) -> DataFrame:
     """rows (group, rep, set) of groups of any size -> links (a, b) whose components are the groups' true ones."""
     spark = scratch.spark
     links = spark.createDataFrame([], "a long, b long")
@@ -248,12 +278,16 @@ def _large_groups(rows: DataFrame, sketches: DataFrame, percent: int, scratch: S
         where = scratch.table(rows.select("group", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), f"where{k}")
         sizes = where.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("most"))
         outside = scratch.table(where.join(sizes, "group").where("component <> most").select("group", "rep"), f"outside{k}")
-    # what no hub reached, against all rows of its group, in blocks
-    spread = outside.join(rows, ["group", "rep"]).join(outside.groupBy("group").agg(F.count("*").alias("n")), "group")
-    blocks = spread.withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block))).groupBy("group", "part")
-    blocks = blocks.agg(F.collect_list("rep").alias("others"), F.collect_list("set").alias("other_sets"))
-    met = rows.join(blocks, "group").select("rep", "set", "others", "other_sets").mapInArrow(_against(percent), "a long, b long")
-    return links.unionByName(scratch.table(met, "blocks"))
+    # what no hub reached, against all rows of its group, in blocks; each task has one block and a bounded part of the rows
+    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("salts"))
+    open_rows = outside.join(outside.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "group")
+    spans = open_rows.groupBy("group").agg(F.max("parts").alias("parts")).join(sizes, "group")
+    part, salt = F.pmod(F.xxhash64("rep"), F.col("parts")), F.pmod(F.xxhash64("rep", F.lit("salt")), F.col("salts"))
+    first = outside.join(spans, "group").select("group", "rep", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    second = rows.select("group", "rep").join(spans, "group").select("group", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt.alias("salt"))
+    dealt = first.withColumn("kind", F.lit(0)).unionByName(second.withColumn("kind", F.lit(1))).join(rows.select("rep", "set"), "rep")
+    dealt = dealt.select(F.xxhash64("group", "part", "salt").alias("task"), "kind", "rep", "set").repartition(partitions(spark), "task").sortWithinPartitions("task", "kind", "rep")
+    return links.unionByName(scratch.table(dealt.mapInArrow(_blocks(percent), "a long, b long"), "blocks"))
 
 
 def near_duplicates(
