@@ -60,16 +60,17 @@ class Moments:
         return n * m1, n * m2, c11 + n * np.outer(m1, m1), c22 + n * np.outer(m2, m2), c12 + n * np.outer(m1, m2)
 
 
-def moments_by_key(df: DataFrame, z1: str, z2: str, key: str | None = None) -> dict:
+def moments_by_key(df: DataFrame, z1: str, z2: str, key: str | None = None, shift: tuple[np.ndarray, np.ndarray] | None = None) -> dict:
     """Moments of (z1, z2) for each value of key (None: one entry, key None). Rows with a null vector don't count.
 
+    Moments that are to be added or subtracted need one shift; without one given, it is some row.
     Each task sends one partial row per key it has; the keys must be few (folds, properties, models).
     """
     rows = df.select(F.lit(None).cast("string").alias("k") if key is None else F.col(key).cast("string").alias("k"), F.col(z1).cast("array<double>").alias("z1"), F.col(z2).cast("array<double>").alias("z2")).where("z1 is not null and z2 is not null")
     head = rows.first()
     if head is None:
         return {}
-    shift1, shift2 = np.array(head.z1), np.array(head.z2)
+    shift1, shift2 = shift or (np.array(head.z1), np.array(head.z2))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}

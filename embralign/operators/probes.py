@@ -68,8 +68,8 @@ def random_split_probe(df: DataFrame, row_id: str, vector: str, value: str, runs
         return None
     tests = [(int(p), r) for r in range(runs) for p in np.random.default_rng(r).permutation(n)[:test_size]]
     split = df.sparkSession.createDataFrame(tests, "_pos long, run int")
-    folds = moments_by_key(rows.join(F.broadcast(split), "_pos"), "z1", "z2", "run")
     total = moments_by_key(rows, "z1", "z2")[None]
+    folds = moments_by_key(rows.join(F.broadcast(split), "_pos"), "z1", "z2", "run", (total.shift1, total.shift2))
     scores = [fold_r2(total, folds[str(r)], 0.0) for r in range(runs)]
     return {"mean": float(np.mean(scores)), "std": float(np.std(scores)), "n": n}
 
