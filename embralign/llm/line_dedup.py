@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import Scratch, partitions, read_table
+from ._graph import connected_components
 from ._text import SPACED, U, as_bytes, distinct_by_group, hash_words, mix, shingle_hashes, small_batches
 from .near_dedup import grouped
 
@@ -195,7 +196,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*(c for c in names if c != "removed"), "n_lines", "n_removed"])
 
 
-def remove_repeated_lines(docs: DataFrame, *, percent: int = 80, block: int = 2048, broadcast_rows: int = 1 << 20) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, *, percent: int = 80, block: int = 2048, long_tokens: int = 512, long_block: int = 64, broadcast_rows: int = 1 << 20) -> DataFrame:
     """docs (doc_id, text, ...) -> the same rows and columns with the later lines gone from text, and n_lines, n_removed.
 
     Lines end at line feeds; ASCII case doesn't count. Lines with fewer than five words (so no shingle)
@@ -226,6 +227,15 @@ def remove_repeated_lines(docs: DataFrame, *, percent: int = 80, block: int = 20
     beside = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     sets = texts.join(beside, texts.doc_id.eqNullSafe(beside.doc_id)).select(texts.doc_id, "text", "wanted")
     sets = scratch.table(sets.mapInArrow(_full_sets, "line long, doc_id long, number long, set binary").dropDuplicates(["line"]), "sets")
+    # A prefix grows with its set, so long sets don't travel with every prefix token: lines that share lists form groups, dealt in pairs of blocks.
+    long = lists.where(F.col("n") > long_tokens * percent // 100).select("task", "line", "n")
+    heads = long.groupBy("task").agg(F.min("line").alias("a"))
+    groups = connected_components(long.join(heads, "task").select("a", F.col("line").alias("b")).distinct(), scratch, "long").withColumnRenamed("id", "line")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / long_block).cast("int").alias("blocks"))
+    dealt = groups.join(sizes, "component").join(long.select("line", "n").distinct(), "line").withColumn("mine", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("component", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("task"), "line", "n", F.lit(0).alias("rank"))
+    lists = lists.where(F.col("n") <= long_tokens).unionByName(dealt)
     met = lists.join(sets, "line").repartition(n, "task").sortWithinPartitions("task", "doc_id", "number", "line")
     gone = scratch.table(met.select("task", "line", "n", "rank", "set").mapInArrow(_later_matches(percent), "line long").distinct(), "gone")
     marked = first.join(gone.withColumn("matched", F.lit(True)), "line", "left")
