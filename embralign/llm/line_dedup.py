@@ -98,8 +98,11 @@ def _postings(counts, percent: int):
     return run
 
 
-def _shared_lists(block: int):
-    """Of rows sorted by token and line: those of tokens with two lines or more, for each task of their list."""
+def _shared_lists(percent: int):
+    """Of rows sorted by token and line: the lists with two lines or more that some other line of theirs is near in length.
+
+    member names a list's lines, head is the rank of the token in its first line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -121,16 +124,19 @@ def _shared_lists(block: int):
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
         token, line, n, rank = (x[new] for x in part)
-        _, inverse, size = np.unique(token, return_inverse=True, return_counts=True)
-        some = size[inverse] > 1
-        token, line, n, rank, size = token[some], line[some], n[some], rank[some], size[inverse][some]
-        blocks = -(-size // block)
-        mine = (mix(line.view(U)) % blocks.astype(U)).astype(np.int64)
-        at = np.repeat(np.arange(len(token)), blocks)
-        theirs = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        lo, hi = np.minimum(mine[at], theirs), np.maximum(mine[at], theirs)
-        task = mix(mix(token[at].view(U) + lo.astype(U)) + hi.astype(U)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(task), pa.array(line[at]), pa.array(n[at].astype(np.int32)), pa.array(rank[at].astype(np.int32))], names=["task", "line", "n", "rank"])
+        by_length = np.lexsort((n, token))
+        t, k = token[by_length], n[by_length].astype(np.int64)
+        close = (t[1:] == t[:-1]) & (100 * k[:-1] >= percent * k[1:])
+        near = np.zeros(len(t), bool)
+        near[1:] |= close
+        near[:-1] |= close
+        some = np.zeros(len(t), bool)
+        some[by_length] = near
+        token, line, n, rank = (x[some] for x in (token, line, n, rank))
+        _, first, inverse, size = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
+        member = np.add.reduceat(mix(line.view(U)), first) if len(first) else np.empty(0, U)
+        out = [token, line, n.astype(np.int32), rank.astype(np.int32), member.view(np.int64)[inverse], rank[first][inverse].astype(np.int32), size[inverse]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["token", "line", "n", "rank", "member", "head", "size"])
 
     return run
 
@@ -218,8 +224,15 @@ def remove_repeated_lines(docs: DataFrame, *, percent: int = 80, block: int = 20
     lines = scratch.table(texts.mapInArrow(name, "doc_id long, number long, line long"), "lines")
     n = partitions(spark)
     posted = texts.mapInArrow(_postings(counts, percent), "token long, line long, n int, rank int")
-    lists = posted.repartition(n, "token").sortWithinPartitions("token", "line").mapInArrow(_shared_lists(block), "task long, line long, n int, rank int")
-    lists = scratch.table(lists, "lists")
+    lists = posted.repartition(n, "token").sortWithinPartitions("token", "line").mapInArrow(_shared_lists(percent), "token long, line long, n int, rank int, member long, head int, size long")
+    lists = scratch.table(lists, "lists0")
+    # Of lists with the same lines, the first in the global order decides: it comes first in each of them.
+    chosen = lists.groupBy("member").agg(F.min(F.struct("head", "token")).alias("c")).select("member", F.col("c.token").alias("token"))
+    lists = lists.join(chosen, ["member", "token"])
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    lists = lists.withColumn("mine", F.pmod(F.xxhash64("line"), blocks).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    lists = scratch.table(lists.select(F.xxhash64("token", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("task"), "line", "n", "rank"), "lists")
+    scratch.drop("lists0")
     first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("copies"))
     first = scratch.table(first.where("copies > 1").select("line", "first").unionByName(first.where("copies = 1").join(lists.select("line").distinct(), "line", "left_semi").select("line", "first")), "first")
     listed = first.join(lists.select("line").distinct(), "line", "left_semi")
