@@ -124,29 +124,42 @@ _WEIGHTS = mix(np.arange(1, 65, dtype=U) * U(BASE)) | U(1)
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words of each text (fewer words: of the whole text), and how many each has."""
-    n, per = len(words), np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
-    ends = np.repeat(np.cumsum(counts), counts)
-    place = np.arange(n)
-    keep = np.repeat(per, counts) > (place - np.repeat(np.cumsum(counts) - counts, counts))
-    at, stop = place[keep], ends[keep]
-    total = np.zeros(len(at), U)
-    for j in range(k):
-        inside = at + j < stop
-        total += np.where(inside, words[np.minimum(at + j, max(n - 1, 0))] * _WEIGHTS[j] if n else U(0), U(0))
-    total += np.minimum(stop - at, k).astype(U)
+    n, per, enough = len(words), np.where(counts >= k, counts - k + 1, np.minimum(counts, 1)), counts >= k
+    begin = np.cumsum(counts) - counts
+    total = np.zeros(int(per.sum()), U)
+    whole = np.repeat(enough, per)
+    if enough.any():
+        runs = np.full(n - k + 1, k, U)
+        for j in range(k):
+            runs += words[j : n - k + 1 + j] * _WEIGHTS[j]
+        some = per[enough]
+        total[whole] = runs[np.arange(int(some.sum())) + np.repeat(begin[enough] - (np.cumsum(some) - some), some)]
+    short = np.flatnonzero((per > 0) & ~enough)
+    if len(short):
+        sums = counts[short].astype(U)
+        for j in range(k - 1):
+            sums += np.where(j < counts[short], words[np.minimum(begin[short] + j, n - 1)] * _WEIGHTS[j], U(0))
+        total[~whole] = sums
     return mix(total), per
 
 
+def sort_by_group(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values of each group in order, groups kept in order."""
+    values, a = values.copy(), 0
+    for b in np.cumsum(counts).tolist():
+        values[a:b].sort()
+        a = b
+    return values
+
+
 def distinct_by_group(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each group, groups kept in order."""
-    out, sizes, a = [], np.zeros(len(counts), np.int64), 0
-    for i, c in enumerate(counts.tolist()):
-        if c:
-            v = np.unique(values[a : a + c])
-            out.append(v)
-            sizes[i] = len(v)
-        a += c
-    return (np.concatenate(out) if out else np.empty(0, U)), sizes
+    values, ends = sort_by_group(values, counts), np.cumsum(counts)
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    keep[(ends - counts)[counts > 0]] = True
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return values[keep], before[ends] - before[ends - counts]
 
 
 def shingle_sets(column: pa.Array, k: int = 5, table: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ discard most pairs of a list, and the full sets decide the others. A line goes i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +20,19 @@ from pyspark.sql import functions as F
 
 from ._base import Scratch, partitions, read_table
 from ._graph import connected_components
-from ._text import SPACED, U, as_bytes, distinct_by_group, hash_words, mix, shingle_hashes, small_batches
+from ._text import SPACED, U, as_bytes, distinct_by_group, hash_words, mix, shingle_hashes, small_batches, sort_by_group
 from .near_dedup import grouped
 
 WORDS = 5
 BUCKETS = 1 << 18
+SLICES = 64
 
 
-def lines_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every line with five words or more: its text's place in the column, its number, its distinct tokens (all, sorted by hash) and how many."""
+def lines_of(column: pa.Array, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line with five words or more: its text's place in the column, its number, its distinct tokens (all, sorted by hash) and how many.
+
+    chosen(place, number), if given, says which lines are wanted.
+    """
     data, offsets = as_bytes(column)
     feeds = np.flatnonzero(data == 0x0A)
     starts = np.concatenate([offsets[:-1], feeds + 1])
@@ -38,10 +42,10 @@ def lines_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     number = np.arange(len(owner)) - np.searchsorted(owner, owner)
     words, counts, _ = hash_words(data, np.append(starts, len(data)), SPACED)
     enough = counts >= WORDS
-    values, per = shingle_hashes(words, counts, WORDS)
-    tokens, n = distinct_by_group(values, per)
-    keep = np.repeat(enough, n)
-    return owner[enough], number[enough], tokens[keep], n[enough]
+    if chosen is not None:
+        enough &= chosen(owner, number)
+    tokens, n = distinct_by_group(*shingle_hashes(words[np.repeat(enough, counts)], counts[enough], WORDS))
+    return owner[enough], number[enough], tokens, n
 
 
 def line_key(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -52,33 +56,48 @@ def line_key(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(tokens + U(0x51)), begin) ^ (n.astype(U) << U(48)) ^ np.bitwise_xor.reduceat(tokens, begin)).view(np.int64)
 
 
-def bucket_counts(docs: DataFrame, scratch: Scratch) -> np.ndarray:
-    """Tokens of all lines in each bucket: BUCKETS numbers, summed on executors."""
+def _names_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line, then the task's tokens in each bucket: a row for each slice of buckets, numbered from -1 down."""
+    total = np.zeros(BUCKETS, np.int64)
+    names = ["doc_id", "number", "line", "counts"]
+    for batch in small_batches(batches, "text"):
+        owner, number, tokens, n = lines_of(batch.column("text"))
+        total += np.bincount((tokens >> U(46)).astype(np.int64), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(number), pa.array(line_key(tokens, n)), pa.nulls(len(owner), pa.binary())], names=names)
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.array(-1 - np.arange(SLICES)), pa.nulls(SLICES, pa.int64()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in small_batches(batches, "text"):
-            tokens = lines_of(batch.column("text"))[2]
-            total += np.bincount((tokens >> U(46)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(BUCKETS, np.int64)
-    got = sums.toPandas()
-    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out
+def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column("number").to_pylist(), batch.column("counts"), strict=True):
+            sums[k] = sums.get(k, 0) + np.frombuffer(x.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["number", "counts"])
+
+
+def bucket_counts(named: DataFrame) -> np.ndarray:
+    """Tokens of all lines in each bucket: BUCKETS numbers, summed on executors."""
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    for r in named.where("number < 0").select("number", "counts").repartition(SLICES, "number").mapInArrow(_sum_slices, "number long, counts binary").collect():  # SLICES rows
+        out[-1 - r.number] = np.frombuffer(r.counts, np.int64)
+    return out.reshape(-1)
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _postings(counts, percent: int):
-    """A row for each prefix token of each class that this task hasn't met yet."""
+def _postings(order, percent: int, parts: int, most: int = 1 << 20):
+    """A posting for each prefix token of each class that this task hasn't met yet, packed by the part its token falls in.
+
+    order ranks the buckets, rarest first; a token's bucket is replaced by its rank, so tokens sort as the global order has
+    them. A posting is three 64-bit numbers: token, line, and size and rank together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+        held, size = [], 0
         for batch in small_batches(batches, "text"):
             _, _, tokens, n = lines_of(batch.column("text"))
             key = line_key(tokens, n)
@@ -88,36 +107,43 @@ def _postings(counts, percent: int):
             fresh[np.unique(key, return_index=True)[1]] = True
             fresh &= np.array([k not in met for k in key.tolist()], bool)
             met.update(key[fresh].tolist())
-            owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((tokens, counts.value[(tokens >> U(46)).astype(np.int64)], owner))
+            tokens, n, key = tokens[np.repeat(fresh, n)], n[fresh], key[fresh]
+            tokens = sort_by_group((order.value[(tokens >> U(46)).astype(np.int64)] << U(46)) | (tokens & U((1 << 46) - 1)), n)
             rank = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-            inside = (rank < prefix_length(n, percent)[owner]) & fresh[owner]
-            own = owner[inside]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[order][inside].view(np.int64)), pa.array(key[own]), pa.array(n[own].astype(np.int32)), pa.array(rank[inside].astype(np.int32))], names=["token", "line", "n", "rank"])
+            inside = rank < np.repeat(prefix_length(n, percent), n)
+            own = np.repeat(np.arange(len(n)), n)[inside]
+            held.append(np.stack([tokens[inside].view(np.int64), key[own], n[own] << 32 | rank[inside]], 1))
+            size += len(own)
+            if size >= most:
+                yield from pack(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield from pack(np.concatenate(held))
+
+    def pack(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(rows), 1 << 22):  # one very long text has more
+            some = rows[a : a + (1 << 22)]
+            part = (mix(some[:, 0].view(U)) % U(parts)).astype(np.int32)
+            by_part = np.argsort(part, kind="stable")
+            name, first = np.unique(part[by_part], return_index=True)
+            offsets = (np.append(first, len(some)) * some.itemsize * 3).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(name), [None, pa.py_buffer(offsets), pa.py_buffer(some[by_part].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(name), packed], names=["part", "postings"])
 
     return run
 
 
 def _shared_lists(percent: int):
-    """Of rows sorted by token and line: the lists with two lines or more that some other line of theirs is near in length.
+    """Of packed postings sorted by part: the lists with two lines or more that some other line of theirs is near in length.
 
     member names a list's lines, head is the rank of the token in its first line.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            part = [batch.column(c).to_numpy() for c in ("token", "line", "n", "rank")]
-            if not len(part[0]):
-                continue
-            if held is not None:
-                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
-            cut = int(np.searchsorted(part[0], part[0][-1])) if part[0][0] != part[0][-1] else 0
-            held = [x[cut:] for x in part]
-            if cut:
-                yield emit([x[:cut] for x in part])
-        if held is not None:
-            yield emit(held)
+        for group in grouped(batches, "part"):
+            rows = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 3) for x in group.column("postings")])
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            yield emit([rows[:, 0], rows[:, 1], rows[:, 2] >> 32, rows[:, 2] & 0xFFFFFFFF])
 
     def emit(part: list[np.ndarray]) -> pa.RecordBatch:
         token, line, n, rank = part
@@ -144,16 +170,12 @@ def _shared_lists(percent: int):
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of the wanted lines of each text."""
     for batch in small_batches(batches, "text"):
-        owner, number, tokens, n = lines_of(batch.column("text"))
+        want = batch.column("wanted").to_pylist()
+        pairs = np.array([(i << 32) | k for i, x in enumerate(want) for k in x], np.int64)
+        owner, number, tokens, n = lines_of(batch.column("text"), lambda o, k, pairs=pairs: np.isin((o << 32) | k, pairs))
         begin = np.cumsum(n) - n
-        key = line_key(tokens, n)
-        want = [set(x) for x in batch.column("wanted").to_pylist()]
-        doc = batch.column("doc_id").to_pylist()
-        rows = [i for i, (o, k) in enumerate(zip(owner.tolist(), number.tolist(), strict=True)) if k in want[o]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(key[i]) for i in rows], pa.int64()), pa.array([doc[owner[i]] for i in rows], pa.int64()), pa.array([int(number[i]) for i in rows], pa.int64()), pa.array([tokens[begin[i] : begin[i] + n[i]].tobytes() for i in rows], pa.binary())],
-            names=["line", "doc_id", "number", "set"],
-        )
+        sets = [tokens[a : a + k].tobytes() for a, k in zip(begin.tolist(), n.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(line_key(tokens, n)), batch.column("doc_id").take(pa.array(owner)), pa.array(number), pa.array(sets, pa.binary())], names=["line", "doc_id", "number", "set"])
 
 
 def _later_matches(percent: int):
@@ -214,17 +236,14 @@ def remove_repeated_lines(docs: DataFrame, *, percent: int = 80, block: int = 20
     scratch = Scratch(spark, "lines")
     docs = docs.drop("n_lines", "n_removed", "removed")
     texts = docs.select("doc_id", "text")
-    counts = spark.sparkContext.broadcast(bucket_counts(texts, scratch))
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            owner, number, tokens, n = lines_of(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(number), pa.array(line_key(tokens, n))], names=["doc_id", "number", "line"])
-
-    lines = scratch.table(texts.mapInArrow(name, "doc_id long, number long, line long"), "lines")
-    n = partitions(spark)
-    posted = texts.mapInArrow(_postings(counts, percent), "token long, line long, n int, rank int")
-    lists = posted.repartition(n, "token").sortWithinPartitions("token", "line").mapInArrow(_shared_lists(percent), "token long, line long, n int, rank int, member long, head int, size long")
+    named = scratch.table(texts.mapInArrow(_names_and_counts, "doc_id long, number long, line long, counts binary"), "lines")
+    lines = named.where("number >= 0").drop("counts")
+    counts, n = bucket_counts(named), partitions(spark)
+    order = np.empty(BUCKETS, U)
+    order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=U)
+    parts = max(8 * n, int(counts.sum()) * (100 - percent) // 100 >> 18)  # about 2^18 postings each, or fewer
+    posted = texts.mapInArrow(_postings(spark.sparkContext.broadcast(order), percent, parts), "part int, postings binary")
+    lists = posted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared_lists(percent), "token long, line long, n int, rank int, member long, head int, size long")
     lists = scratch.table(lists, "lists0")
     # Of lists with the same lines, the first in the global order decides: it comes first in each of them.
     chosen = lists.groupBy("member").agg(F.min(F.struct("head", "token")).alias("c")).select("member", F.col("c.token").alias("token"))
