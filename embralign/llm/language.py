@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._base import read_table, ship
 from ._sample import bounded, held_out
-from ._text import BASE, U, as_bytes, text_slices
+from ._text import BASE, U, as_bytes, small_batches, text_slices
 
 DIMENSIONS = 2048
 
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, labelled: DataFrame, *, per_language: int = 500, g
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for whole in batches:
+        for whole in small_batches(batches, "text"):
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)
                 column = batch.column("text")

@@ -88,7 +88,7 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _postings(order, percent: int, parts: int, most: int = 1 << 20):
+def _postings(order, percent: int, parts: int, most: int = 1 << 18):
     """A posting for each prefix token of each class that this task hasn't met yet, packed by the part its token falls in.
 
     order ranks the buckets, rarest first; a token's bucket is replaced by its rank, so tokens sort as the global order has
