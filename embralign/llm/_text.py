@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE = 1 << 20
+SLICE = 1 << 21
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -169,20 +168,10 @@ def shingle_sets(column: pa.Array, k: int = 5, table: np.ndarray = SPACED) -> tu
     return distinct_by_group(*shingle_hashes(words, counts, k))
 
 
-def give_back() -> None:
-    """Return freed memory to the system: workers are kept, and what one task freed would count beside the next one's."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim is not None:
-        trim(0)
-
-
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many bytes of text, or one text."""
-    give_back()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         offsets = np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))])
         for a, b in text_slices(offsets, most):
             yield batch.slice(a, b - a)
-    give_back()
