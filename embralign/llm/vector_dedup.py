@@ -1,10 +1,13 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors; a vector is described by its nearest
-pivots in order. Inverted lists hold, for each pivot, the vectors with it in their description. Two
-vectors of a list that share enough pivots are verified by their exact cosine; the list of the smallest
-shared pivot answers for a pair, so each pair counts once. Equal vectors enter the index once, with
-their number. Lists larger than a block are dealt as pairs of blocks to many tasks.
+Reference points (pivots) are a bounded sample of the vectors, thinned so that no two are close: a dense
+group keeps one or few, however large it is. A vector's home is its nearest pivot. It is described by all
+pivots that can be the home of a vector within the threshold (beyond the bisector of home and pivot by no
+more than the threshold's angle), so none of its links is missed; where those are too many (far from all
+pivots) by its nearest pivots. Inverted lists hold, for each pivot, the vectors with it in their
+description. The vectors of a list are verified by their exact cosine; the list of the smallest shared
+pivot answers for a pair, so each pair counts once. Equal vectors enter the index once, with their number.
+Lists larger than a block are dealt as pairs of blocks to many tasks.
 """
 
 from __future__ import annotations
@@ -31,8 +34,20 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
-def _describe(pivots: np.ndarray, keep: int):
-    """Unit vectors with the numbers of their nearest pivots, nearest first."""
+def spread(units: np.ndarray, apart: float) -> np.ndarray:
+    """Of unit vectors, in order, those with a cosine below apart to all taken before."""
+    free, taken = np.ones(len(units), bool), []
+    for i in range(len(units)):
+        if free[i]:
+            taken.append(i)
+            free &= units @ units[i] < apart
+    return units[taken]
+
+
+def _describe(pivots: np.ndarray, keep: int, threshold: float, apart: float):
+    """Unit vectors with the numbers of the pivots that can be home to a link, if at most keep, else of their nearest; the nearest first."""
+    reach = math.sqrt(1 - threshold * threshold) + 1e-9 if threshold > 0 else math.inf
+    close = reach * math.sqrt(max(2 - 2 * apart, 0))  # a pivot so little behind the nearest is always within reach
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -44,8 +59,19 @@ def _describe(pivots: np.ndarray, keep: int):
                 k = min(keep, len(pivots))
                 near = np.argpartition(-c, k - 1, axis=1)[:, :k]
                 near = np.take_along_axis(near, np.argsort(-np.take_along_axis(c, near, 1), axis=1, kind="stable"), 1).astype(np.int32)
+                order = list(near)
+                best = c[np.arange(len(v)), near[:, 0]]
+                few = np.flatnonzero((c > (best - close)[:, None]).sum(1) <= keep)
+                for s in range(0, len(few), 256):
+                    x = few[s : s + 256]
+                    home = near[x, 0]
+                    gap = np.sqrt(np.maximum(2 - 2 * (pivots[home] @ pivots.T), 0))
+                    able = best[x, None] - c[x] <= reach * gap
+                    able[np.arange(len(x)), home] = True
+                    for r in np.flatnonzero(able.sum(1) <= keep).tolist():
+                        order[x[r]] = np.concatenate([home[r : r + 1], np.setdiff1d(np.flatnonzero(able[r]), home[r])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rep"), batch.column("copies"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["rep", "copies", "unit", "order"]
+                    [batch.column("rep"), batch.column("copies"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(order, pa.list_(pa.int32()))], names=["rep", "copies", "unit", "order"]
                 )
 
     return run
@@ -59,7 +85,10 @@ def _compare(threshold: float, shared: int):
             pivot, same = group.column("pivot")[0].as_py(), group.column("same")[0].as_py()
             rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
             unit = _matrix(group.column("unit"), np.float64)
-            order = np.array(group.column("order").to_pylist(), np.int32)
+            lists = group.column("order").to_pylist()
+            order = np.full((len(lists), max(map(len, lists))), -1, np.int32)  # filled up with -1
+            for r, x in enumerate(lists):
+                order[r, : len(x)] = x
             side = group.column("side").to_numpy(zero_copy_only=False)
             left, right = (np.arange(len(rep)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
             links = np.zeros(len(rep), np.int64)
@@ -73,7 +102,7 @@ def _compare(threshold: float, shared: int):
                 i, j = i[ok], j[ok]
                 for t in range(0, len(i), 1 << 16):
                     p, q = i[t : t + (1 << 16)], j[t : t + (1 << 16)]
-                    both = (order[p][:, :, None] == order[q][:, None, :]).any(2)
+                    both = (order[p][:, :, None] == order[q][:, None, :]).any(2) & (order[p] >= 0)
                     own = np.where(both, order[p], np.iinfo(np.int32).max).min(1) == pivot
                     ok = (both.sum(1) >= shared) & own
                     p, q = p[ok], q[ok]
@@ -99,14 +128,15 @@ def _compare(threshold: float, shared: int):
     return run
 
 
-def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_list: int = 512, keep: int = 8, shared: int = 2, pivots: int | None = None, most_pivots: int = 16384, block: int = 2048) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_list: int = 512, keep: int = 8, shared: int = 1, pivots: int | None = None, most_pivots: int = 16384, apart: float = 0.8, block: int = 2048) -> DataFrame:
     """vectors (vec_id long, embedding array<float>, ...) -> vec_id, n_links, component_id, kept; one row per row.
 
     Links pairs found by the index with cosine >= threshold in double precision. Null, empty and zero
     vectors and those with a null or non-finite component link with nothing and are their own component;
     vectors of different dimensions never link. A null vec_id gets nulls. Rows that repeat a vec_id are
     vectors of their own with that id. Extra columns are ignored; an empty table gives no rows.
-    The number of pivots follows the number of vectors (about `per_list` a list), up to `most_pivots`.
+    The number of pivots follows the number of vectors (about `per_list` a list), up to `most_pivots`; of
+    pivots with a cosine of `apart` or more one stays. `shared` above 1 drops pairs that share fewer pivots.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -125,8 +155,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_list: int =
         m = pivots or min(most_pivots, max(16, math.ceil(n * keep / per_list)))
         chosen = own.orderBy(F.xxhash64("key")).limit(m).select("vector").collect()  # bounded by most_pivots
         p = np.array([r.vector for r in chosen], np.float64)
-        p /= np.linalg.norm(p, axis=1, keepdims=True)
-        described = scratch.table(own.select("rep", "copies", "vector").mapInArrow(_describe(p, keep), "rep long, copies long, unit binary, order array<int>"), f"described{width}")
+        p = spread(p / np.linalg.norm(p, axis=1, keepdims=True), apart)
+        described = scratch.table(own.select("rep", "copies", "vector").mapInArrow(_describe(p, keep, threshold, apart), "rep long, copies long, unit binary, order array<int>"), f"described{width}")
         posts = described.withColumn("pivot", F.explode("order"))
         size = F.broadcast(posts.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))  # a row per pivot
         posts = posts.join(size, "pivot").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

@@ -181,6 +181,18 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vectors_of_a_dense_group(spark):
+    rng = np.random.default_rng(11)
+    near = rng.standard_normal(64)
+    near = near / np.linalg.norm(near) + 0.029 * rng.standard_normal((4000, 64))  # pairwise cosine about 0.95
+    m = np.vstack([near, rng.standard_normal((4000, 64))])
+    data = [(i, v.tolist()) for i, v in enumerate(m)]
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    assert [got[i].n_links for i in range(len(m))] == ((m @ m.T >= 0.9).sum(1) - 1).tolist()
+    assert sum(r.kept for r in got.values()) == 4001
+
+
 def test_language_and_quality(spark, docs, empty):
     tongues = {"en": "the and of house river stone ", "de": "der und die haus fluss stein ", "fr": "le et la maison fleuve pierre "}
     rows = [(i, " ".join(RNG.permutation((t * 4).split())), k) for i in range(60) for k, t in tongues.items()]
