@@ -64,11 +64,11 @@ def item_blocks(items: DataFrame, window: int) -> Iterator[Items]:
         yield Items(ids, texts, window)
 
 
-_INDEX = "doc_ids array<long>, n_words array<long>, terms binary, ends binary, places binary"
+_INDEX = "doc_ids array<long>, rows array<long>, n_words array<long>, terms binary, ends binary, places binary"
 
 
 def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """docs (doc_id, text) -> index segments with the postings of the given term hashes (sorted)."""
+    """docs (doc_id, text, row if rows are numbered) -> index segments with the postings of the given term hashes (sorted)."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,12 +83,14 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             place = (hit + np.repeat(np.arange(len(counts)), counts)[hit])[order].astype(np.int32)
             used, n = np.unique(code[order], return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64()))]
+                [pa.array([batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("doc_id", "row")]
+                + [pa.array([counts.tolist()], pa.list_(pa.int64()))]
                 + [pa.array([x.tobytes()], pa.binary()) for x in (used.astype(np.int32), np.cumsum(n).astype(np.int32), place)],
-                names=["doc_ids", "n_words", "terms", "ends", "places"],
+                names=["doc_ids", "rows", "n_words", "terms", "ends", "places"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _INDEX)
+    row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long").alias("row")
+    return docs.select("doc_id", row, "text").mapInArrow(run, _INDEX)
 
 
 def intersect(lists: list[np.ndarray], offsets: list[int], slack: int = 0) -> np.ndarray:
@@ -104,13 +106,16 @@ def intersect(lists: list[np.ndarray], offsets: list[int], slack: int = 0) -> np
 
 
 def search_index(index: DataFrame, items: Items, slack: int = 0) -> DataFrame:
-    """For each indexed document: doc_id, n_words, n_hit, found (the item_ids with an occurring window, as strings)."""
+    """For each indexed document: doc_id, row, n_words, n_hit, runs, found (the item_ids with an occurring window, as strings).
+
+    runs holds the hit words of a numbered row as begin and end of each run of them, counted in the document.
+    """
     shared = index.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query = shared.value
         for batch in batches:
-            for ids, n_words, *blobs in zip(*(batch.column(c) for c in ("doc_ids", "n_words", "terms", "ends", "places")), strict=True):
+            for ids, rows, n_words, *blobs in zip(*(batch.column(c) for c in ("doc_ids", "rows", "n_words", "terms", "ends", "places")), strict=True):
                 terms, ends, places = (np.frombuffer(x.as_py(), np.int32) for x in blobs)
                 counts = np.array(n_words.as_py(), np.int64)
                 begins = np.cumsum(counts + 1) - counts - 1
@@ -134,15 +139,32 @@ def search_index(index: DataFrame, items: Items, slack: int = 0) -> DataFrame:
                     np.add.at(hit, at[inside] + len(w), -1)
                     for d in np.unique(doc[inside]).tolist():
                         found[d].update(owners)
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
+                inside = np.cumsum(hit[:-1]) > 0
+                covered = np.concatenate([[0], np.cumsum(inside)])
                 n_hit = covered[begins + counts] - covered[begins]
-                names = [sorted(str(query.ids[i]) for i in f) for f in found]
+                names = [sorted({str(query.ids[i]) for i in f}) for f in found]
+                numbered = rows.values.null_count == 0
+                edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)  # places between documents are never hit
+                cut = np.searchsorted(edges[:, 0], np.append(begins, len(inside)))
+                runs = [(edges[a:b] - at).astype(np.int32).tobytes() for at, a, b in zip(begins, cut[:-1], cut[1:], strict=True)] if numbered else [None] * len(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.as_py(), pa.int64()), pa.array(counts), pa.array(n_hit.astype(np.int64)), pa.array(names, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "n_hit", "found"],
+                    [pa.array(ids.as_py(), pa.int64()), pa.array(rows.as_py(), pa.int64()), pa.array(counts), pa.array(n_hit.astype(np.int64)), pa.array(runs, pa.binary()), pa.array(names, pa.list_(pa.string()))],
+                    names=["doc_id", "row", "n_words", "n_hit", "runs", "found"],
                 )
 
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, found array<string>")
+    return index.mapInArrow(run, "doc_id long, row long, n_words long, n_hit long, runs binary, found array<string>")
+
+
+def _union_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_hit from the runs of all blocks."""
+    for batch in batches:
+        total = []
+        for blobs in batch.column("runs").to_pylist():
+            runs = np.concatenate([np.empty((0, 2), np.int32), *(np.frombuffer(x, np.int32).reshape(-1, 2) for x in blobs)])
+            runs = runs[np.argsort(runs[:, 0], kind="stable")].astype(np.int64)
+            before = np.maximum.accumulate(np.concatenate([[0], runs[:, 1]]))[:-1]
+            total.append(int(np.maximum(runs[:, 1] - np.maximum(runs[:, 0], before), 0).sum()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(total, pa.int64()), batch.column("found")], names=["doc_id", "n_words", "n_hit", "found"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, slack: int = 0) -> DataFrame:
@@ -151,12 +173,17 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, slack:
     Words are runs of letters and digits after lower-casing A-Z. An item's windows are its runs of
     `window` words, or all its words if there are fewer; n_hit counts the document words inside any
     occurrence. Null, empty and wordless texts and items have no windows and no hits; items with equal
-    texts all count. With several blocks of items the hits of a document are those of its block with most
-    (n_hit) and all its items. Rows that repeat a doc_id get a row each with one block of items; extra
-    columns are ignored; without items nothing is contaminated.
+    texts all count. Items beyond one block are searched block by block over numbered rows, and a row's hits
+    are the union over the blocks. Rows that repeat a doc_id get a row each; extra columns are ignored;
+    without items nothing is contaminated.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
+    filled = items.where("text is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("size")).first()
+    many = filled.n >= BLOCK_ITEMS or filled["size"] >= BLOCK_BYTES
+    docs = docs.select("doc_id", "text")
+    if many:  # the numbers have to be the same for every block
+        docs = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
     found = None
     for k, block in enumerate(item_blocks(items, window)):
         index = scratch.table(build_index(docs, block.terms), f"index{k}")
@@ -164,9 +191,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, slack:
         found = part if found is None else scratch.table(found, f"found{k}").unionByName(part)
     if found is None:
         index = scratch.table(build_index(docs, np.empty(0, U)), "index")
-        found, k = search_index(index, Items([], [], window), slack), 0
-    if k:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+        found = search_index(index, Items([], [], window), slack)
+    if many:
+        hits = F.collect_list(F.when(F.octet_length("runs") > 0, F.col("runs")))
+        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), hits.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+        found = found.drop("row").mapInArrow(_union_of_runs, "doc_id long, n_words long, n_hit long, found array<string>")
     return found.select("doc_id", "n_words", "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

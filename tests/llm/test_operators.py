@@ -158,6 +158,19 @@ def test_decontamination(spark, docs, empty):
     assert not any(r.contaminated for r in decontaminate.contamination(docs, items.limit(0)).collect())
 
 
+def test_decontamination_of_many_blocks(spark, docs, monkeypatch):
+    w = BASE[1].split()
+    passages = [w[:12], w[8:20], w[40:55], w[70:80], BASE[0].split()[3:20], w[:10]]
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)] + [(2, " ".join(w[:15])), (9, None)], "item_id long, text string")
+    twice = docs.unionByName(docs.where("doc_id = 2").withColumn("text", F.lit(" ".join(w[38:60]))))  # a doc_id with two texts
+    rows = lambda: sorted(map(str, decontaminate.contamination(twice, items).collect()))
+    want = rows()
+    assert [r.n_hit for r in decontaminate.contamination(docs, items).where("doc_id = 1").collect()] == [20 + 15 + 10] and len(want) == twice.count()
+    for n in (1, 2, 7):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", n)
+        assert rows() == want
+
+
 def test_proximity():
     lists = [np.array([10, 50]), np.array([12, 51])]
     assert decontaminate.intersect(lists, [0, 1]).tolist() == [50]
