@@ -28,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later similar lines go; a document that loses every line goes too."""
-    out = remove_repeated_lines(docs).where("not (n_removed > 0 and trim(text) = '')")
+    out = remove_repeated_lines(docs, least_words=1).where("not (n_removed > 0 and trim(text) = '')")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

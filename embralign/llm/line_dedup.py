@@ -1,10 +1,11 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line's tokens are its distinct five-word shingles. Lines with equal sets form a class that enters
+A line's tokens are its distinct five-word shingles; a shorter line's one token is all its words. Lines with equal sets form a class that enters
 the join once. All tokens have one global order, rarest first: by the corpus count of their bucket in
 a table of fixed size (counts over all lines), then by hash; any fixed order gives the same result, a
 good one short lists. If two sets reach Jaccard similarity t, their prefixes (the first n - ceil(t n) + 1
-tokens) share a token, so the lists of prefix tokens hold every pair; length and positional filters
+tokens) share a token, so the lists of prefix tokens hold every pair; sets too small to reach t with any but an
+equal one (under 4 tokens for t = 0.8) need none; length and positional filters
 discard most pairs of a list, and the full sets decide the others. A line goes if an earlier line
 (by doc_id, then place in the text) has similarity t or more; all later copies go.
 """
@@ -28,8 +29,8 @@ BUCKETS = 1 << 18
 SLICES = 64
 
 
-def lines_of(column: pa.Array, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every line with five words or more: its text's place in the column, its number, its distinct tokens (all, sorted by hash) and how many.
+def lines_of(column: pa.Array, least: int = WORDS, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line with at least so many words: its text's place in the column, its number, its distinct tokens (all, sorted by hash) and how many.
 
     chosen(place, number), if given, says which lines are wanted.
     """
@@ -41,7 +42,7 @@ def lines_of(column: pa.Array, chosen: Callable[[np.ndarray, np.ndarray], np.nda
     starts, owner = starts[order], owner[order]
     number = np.arange(len(owner)) - np.searchsorted(owner, owner)
     words, counts, _ = hash_words(data, np.append(starts, len(data)), SPACED)
-    enough = counts >= WORDS
+    enough = counts >= max(least, 1)
     if chosen is not None:
         enough &= chosen(owner, number)
     tokens, n = distinct_by_group(*shingle_hashes(words[np.repeat(enough, counts)], counts[enough], WORDS))
@@ -56,16 +57,20 @@ def line_key(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(tokens + U(0x51)), begin) ^ (n.astype(U) << U(48)) ^ np.bitwise_xor.reduceat(tokens, begin)).view(np.int64)
 
 
-def _names_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _names_and_counts(least: int):
     """A row for each line, then the task's tokens in each bucket: a row for each slice of buckets, numbered from -1 down."""
-    total = np.zeros(BUCKETS, np.int64)
-    names = ["doc_id", "number", "line", "counts"]
-    for batch in small_batches(batches, "text"):
-        owner, number, tokens, n = lines_of(batch.column("text"))
-        total += np.bincount((tokens >> U(46)).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(number), pa.array(line_key(tokens, n)), pa.nulls(len(owner), pa.binary())], names=names)
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.array(-1 - np.arange(SLICES)), pa.nulls(SLICES, pa.int64()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        names = ["doc_id", "number", "line", "counts"]
+        for batch in small_batches(batches, "text"):
+            owner, number, tokens, n = lines_of(batch.column("text"), least)
+            total += np.bincount((tokens >> U(46)).astype(np.int64), minlength=BUCKETS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(number), pa.array(line_key(tokens, n)), pa.nulls(len(owner), pa.binary())], names=names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.array(-1 - np.arange(SLICES)), pa.nulls(SLICES, pa.int64()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=names)
+
+    return run
 
 
 def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +93,7 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def _postings(order, percent: int, parts: int, most: int = 1 << 20):
+def _postings(order, least: int, percent: int, parts: int, most: int = 1 << 20):
     """A posting for each prefix token of each class that this task hasn't met yet, packed by the part its token falls in.
 
     order ranks the buckets, rarest first; a token's bucket is replaced by its rank, so tokens sort as the global order has
@@ -99,7 +104,9 @@ def _postings(order, percent: int, parts: int, most: int = 1 << 20):
         met: set[int] = set()
         held, size = [], 0
         for batch in small_batches(batches, "text"):
-            _, _, tokens, n = lines_of(batch.column("text"))
+            _, _, tokens, n = lines_of(batch.column("text"), least)
+            partner = 100 * n >= percent * (n + 1)
+            tokens, n = tokens[np.repeat(partner, n)], n[partner]
             key = line_key(tokens, n)
             if len(met) > 1 << 20:
                 met.clear()
@@ -168,11 +175,11 @@ def _shared_lists(percent: int):
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the wanted lines of each text."""
+    """The sets of the wanted lines of each text (those in lists, so none of fewer than five words)."""
     for batch in small_batches(batches, "text"):
         want = batch.column("wanted").to_pylist()
         pairs = np.array([(i << 32) | k for i, x in enumerate(want) for k in x], np.int64)
-        owner, number, tokens, n = lines_of(batch.column("text"), lambda o, k, pairs=pairs: np.isin((o << 32) | k, pairs))
+        owner, number, tokens, n = lines_of(batch.column("text"), chosen=lambda o, k, pairs=pairs: np.isin((o << 32) | k, pairs))
         begin = np.cumsum(n) - n
         sets = [tokens[a : a + k].tobytes() for a, k in zip(begin.tolist(), n.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(line_key(tokens, n)), batch.column("doc_id").take(pa.array(owner)), pa.array(number), pa.array(sets, pa.binary())], names=["line", "doc_id", "number", "set"])
@@ -224,11 +231,11 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*(c for c in names if c != "removed"), "n_lines", "n_removed"])
 
 
-def remove_repeated_lines(docs: DataFrame, *, percent: int = 80, block: int = 2048, long_tokens: int = 512, long_block: int = 64, broadcast_rows: int = 1 << 20) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, *, least_words: int = WORDS, percent: int = 80, block: int = 2048, long_tokens: int = 512, long_block: int = 64, broadcast_rows: int = 1 << 20) -> DataFrame:
     """docs (doc_id, text, ...) -> the same rows and columns with the later lines gone from text, and n_lines, n_removed.
 
-    Lines end at line feeds; ASCII case doesn't count. Lines with fewer than five words (so no shingle)
-    stay. Of equal lines in one text the first stays. Null texts stay null with 0 lines; a null doc_id comes first in
+    Lines end at line feeds; ASCII case doesn't count. Lines with fewer than `least_words` words
+    stay (with 1 only those without a word); of fewer than five words the whole sequence counts. Of equal lines in one text the first stays. Null texts stay null with 0 lines; a null doc_id comes first in
     the order, and rows that repeat a doc_id are one document: their equal lines at the same place stay.
     Columns n_lines, n_removed and removed of docs, if any, are replaced. An empty table gives no rows.
     """
@@ -236,13 +243,13 @@ def remove_repeated_lines(docs: DataFrame, *, percent: int = 80, block: int = 20
     scratch = Scratch(spark, "lines")
     docs = docs.drop("n_lines", "n_removed", "removed")
     texts = docs.select("doc_id", "text")
-    named = scratch.table(texts.mapInArrow(_names_and_counts, "doc_id long, number long, line long, counts binary"), "lines")
+    named = scratch.table(texts.mapInArrow(_names_and_counts(least_words), "doc_id long, number long, line long, counts binary"), "lines")
     lines = named.where("number >= 0").drop("counts")
     counts, n = bucket_counts(named), partitions(spark)
     order = np.empty(BUCKETS, U)
     order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=U)
     parts = max(8 * n, int(counts.sum()) * (100 - percent) // 100 >> 18)  # about 2^18 postings each, or fewer
-    posted = texts.mapInArrow(_postings(spark.sparkContext.broadcast(order), percent, parts), "part int, postings binary")
+    posted = texts.mapInArrow(_postings(spark.sparkContext.broadcast(order), least_words, percent, parts), "part int, postings binary")
     lists = posted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared_lists(percent), "token long, line long, n int, rank int, member long, head int, size long")
     lists = scratch.table(lists, "lists0")
     # Of lists with the same lines, the first in the global order decides: it comes first in each of them.
@@ -284,4 +291,4 @@ def remove_repeated_lines(docs: DataFrame, *, percent: int = 80, block: int = 20
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
+    return remove_repeated_lines(docs, least_words=1).select("doc_id", "text", "n_lines", "n_removed")

@@ -79,6 +79,18 @@ def test_lines(docs, empty):
     assert "score" in got[0] and line_dedup.remove_repeated_lines(empty).count() == 0
 
 
+def test_short_lines(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["All rights reserved.\n" + BASE[0] + "\n\nHome", "ALL  rights reserved.\nreserved. rights all\n\n" + BASE[3] + "\nhome\nAll rights", "All rights\n \nAll rights reserved. 2024\na b c d e\nA b c d e", None]
+    want = [texts[0], "reserved. rights all\n\n" + BASE[3] + "\nAll rights", " \nAll rights reserved. 2024\na b c d e", None]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = line_dedup.op3_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.text, r.n_removed) for r in got] == [*zip(want, (0, 2, 2), strict=False), (None, 0)]
+    assert [r.text for r in corpus_pipeline.line_stage(spark, rows, str(tmp_path)).orderBy("doc_id").collect()] == want
+
+
 def test_shards(docs, empty):
     got = shard.shards(docs, 7, rows_per_bucket=1).collect()
     assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s, n in sorted(Counter(r.shard for r in got).items()) for k in range(n)]
