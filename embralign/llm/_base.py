@@ -81,5 +81,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(df: DataFrame, rows: int, each: int = 1 << 16) -> DataFrame:
+    """df in no more tasks than that many rows ask for at `each` a task (8 at least); a large table keeps all its partitions.
+
+    Small tables (edges, sizes, labels of a late round) otherwise pay for a task in each of many shuffle partitions.
+    """
+    return df.coalesce(min(max(8, -(-rows // each)), 1 << 24))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,9 +11,9 @@ again, unless nearly all of its parent came along: then its documents can't be t
 tokens and stay together as one candidate group.
 
 Candidate groups (connected candidates) are then resolved on the full sets, exactly. A small group
-meets in one task. A large one never does: rounds compare all its rows with one hub, the row whose
-minwise tokens are most common in the group, and what stays unconnected is compared with all rows
-in blocks. Only links that connect something new leave a task, so the output is linear in rows.
+meets in one task. A large one never does: its rows, dealt to tasks by a salt, meet one hub, a row whose
+minwise tokens are the most common of the group; what stays unconnected chooses another hub, and in the end
+meets all rows in blocks. Only links that connect something new leave a task, so the output is linear in rows.
 """
 
 from __future__ import annotations
@@ -21,12 +21,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import Scratch, partitions, read_table
+from ._base import Scratch, gathered, partitions, read_table
 from ._graph import connected_components
 from ._text import BASE, U, as_bytes, hash_words, mix, shingle_hashes, shingle_sets, small_batches, SPACED
 
@@ -199,30 +198,23 @@ def _set(data: bytes) -> np.ndarray:
     return np.frombuffer(data, U)
 
 
-def _against(percent: int):
-    """Rows against the block of sets beside them; a link for each new connection in this task."""
+def _stars(percent: int):
+    """In each task, the rows that link with the task's hub (its one row of kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = task = None
         for batch in batches:
-            a, b, top = [], [], {}
-
-            def find(x: int) -> int:
-                while top.setdefault(x, x) != x:
-                    top[x] = x = top[top[x]]
-                return x
-
-            blocks: dict[bytes, list] = {}
-            for rep, data, ids, others in zip(*(batch.column(c).to_pylist() for c in ("rep", "set", "others", "other_sets")), strict=True):
-                mine = _set(data)
-                block = blocks.setdefault(str(ids), [_set(x) for x in others])
-                for other, theirs in zip(ids, block, strict=True):
-                    if other != rep and min(len(mine), len(theirs)) * 100 >= percent * max(len(mine), len(theirs)) and find(rep) != find(other):
-                        inter = len(np.intersect1d(mine, theirs, assume_unique=True))
-                        if linked(np.int64(inter), len(mine), len(theirs), percent):
-                            top[find(rep)] = find(other)
-                            a.append(rep)
-                            b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found = []
+            sets = batch.column("set")
+            for i, (t, kind) in enumerate(zip(batch.column("task").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
+                mine = np.frombuffer(sets[i].as_buffer(), U)
+                if not kind:
+                    hub, task = mine.copy(), t
+                elif t == task and min(len(mine), len(hub)) * 100 >= percent * max(len(mine), len(hub)):
+                    at = np.minimum(np.searchsorted(hub, mine), len(hub) - 1)
+                    if linked(np.count_nonzero(hub[at] == mine), len(mine), len(hub), percent):
+                        found.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(found, pa.int64()))], names=["rep"])
 
     return run
 
@@ -257,36 +249,74 @@ def _blocks(percent: int):
     return run
 
 
-def _large_groups(rows: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch, hubs: int = 3, block: int = 128, rows_per_task: int = 2000) -> DataFrame:
-    """rows (group, rep, set) of groups of any size -> links (a, b) whose components are the groups' true ones."""
+_TOKENS = 8
+
+
+def _main_star(hubs: int):
+    """From masks (array of mask, n) of a group: the bits of the connected hubs that most rows are linked with."""
+
+    def meets(x, reach):
+        return x["mask"].bitwiseAND(reach) != 0
+
+    def reached(reach):
+        return F.aggregate("masks", reach, lambda r, x: F.when(meets(x, r), r.bitwiseOR(x["mask"])).otherwise(r))
+
+    def star(h: int):
+        reach = F.lit(1 << h)
+        for _ in range(hubs - 1):
+            reach = reached(reach)
+        n = F.aggregate("masks", F.lit(0).cast("long"), lambda t, x: t + F.when(meets(x, reach), x["n"]).otherwise(0))
+        return F.struct(n.alias("n"), reach.alias("reach"))
+
+    return (F.greatest(*map(star, range(hubs))) if hubs > 1 else star(0))["reach"]
+
+
+def _large_groups(rows: DataFrame, count: int, percent: int, scratch: Scratch, hubs: int = 3, block: int = 128, rows_per_task: int = 2000, broadcast_groups: int = 1 << 16) -> DataFrame:
+    """rows (group, rep, tokens, set), so many, of groups of any size -> links (a, b) whose components are the groups' true ones.
+
+    A row's mask has a bit for each hub that it is linked with. Stars that share a row are connected; rows outside the
+    group's largest connected stars choose the next hub, and in the end meet all rows of their group in blocks.
+    """
     spark = scratch.spark
+    small = lambda df, each=1 << 14: gathered(df, count, each)
+    spans = scratch.table(small(rows.groupBy("group").agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("salts"))), "spans")
+    # one short row for each large group; beyond so many groups the planner joins (and splits what is skewed)
+    beside = F.broadcast if spans.count() <= broadcast_groups else lambda x: x
+    salt = F.pmod(F.xxhash64("rep", F.lit("salt")), F.col("salts")).cast("int")
+    task = F.xxhash64("group", "salt").alias("task")
+    dealt = rows.join(beside(spans), "group").withColumn("salt", salt).select(task, F.lit(1).alias("kind"), "rep", "set")
     links = spark.createDataFrame([], "a long, b long")
-    outside = rows.select("group", "rep")
-    tokens = F.array(*[F.substring("sketch", 4 * c * (SKETCH // 8) + 1, 4) for c in range(8)])
+    state = rows.select("group", "rep", "tokens", F.lit(0).alias("mask"))
+    outside = state
     for k in range(hubs):
+        each = outside.select("group", F.posexplode("tokens").alias("c", "token"))
+        each = small(each.groupBy("group", "c", "token").agg(F.count("*").alias("n")))
+        top = small(each.groupBy("group", "c").agg(F.max_by("token", F.struct("n", "token")).alias("token")))
+        top = small(top.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("c", "token"))).alias("top")))  # _TOKENS entries
+        score = sum((F.col("tokens")[c] == F.element_at("top", F.lit(c))).cast("int") for c in range(_TOKENS))
+        hub = outside.join(beside(top), "group").groupBy("group").agg(F.max_by("rep", F.struct(score, -F.col("rep"))).alias("rep"))
+        hub = scratch.table(small(hub), f"hub{k}")
+        sets = hub.join(rows.select("rep", "set"), "rep").join(spans, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        met = dealt.unionByName(sets.select(task, F.lit(0).alias("kind"), "rep", "set")).repartition(partitions(spark), "task")
+        met = small(met, 1 << 11).sortWithinPartitions("task", "kind").mapInArrow(_stars(percent), "rep long").withColumn("bit", F.lit(1 << k))
+        state = state.join(met, "rep", "left").select("group", "rep", "tokens", F.col("mask").bitwiseOR(F.coalesce("bit", F.lit(0))).alias("mask"))
+        state = scratch.table(small(state), f"state{k}")
+        links = links.unionByName(state.where(F.col("mask").bitwiseAND(1 << k) != 0).select("group", F.col("rep").alias("b")).join(beside(hub.withColumnRenamed("rep", "a")), "group").select("a", "b"))
+        masks = small(state.groupBy("group", "mask").agg(F.count("*").alias("n"))).groupBy("group").agg(F.collect_list(F.struct("mask", "n")).alias("masks"))
+        most = small(masks.select("group", _main_star(k + 1).alias("most")))
+        outside = state.join(beside(most), "group").where(F.col("mask").bitwiseAND(F.col("most")) == 0).select("group", "rep", "tokens")
+        outside = scratch.table(small(outside), f"outside{k}")
         if outside.isEmpty():
             return links
-        each = outside.join(sketches, "rep").select("group", "rep", F.posexplode(tokens).alias("c", "token"))
-        common = each.groupBy("group", "c", "token").agg(F.count("*").alias("n"))
-        score = each.join(common, ["group", "c", "token"]).groupBy("group", "rep").agg(F.sum("n").alias("score"))
-        hub = score.groupBy("group").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("rep"))
-        hub = hub.join(rows, ["group", "rep"]).select("group", F.array("rep").alias("others"), F.array("set").alias("other_sets"))
-        met = rows.join(hub, "group").select("rep", "set", "others", "other_sets").mapInArrow(_against(percent), "a long, b long")
-        found = scratch.table(met, f"hub{k}")
-        links = links.unionByName(found)
-        parts = connected_components(links, scratch, f"hub{k}")
-        where = scratch.table(rows.select("group", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), f"where{k}")
-        sizes = where.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("most"))
-        outside = scratch.table(where.join(sizes, "group").where("component <> most").select("group", "rep"), f"outside{k}")
-    # what no hub reached, against all rows of its group, in blocks; each task has one block and a bounded part of the rows
-    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("salts"))
-    open_rows = outside.join(outside.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "group")
-    spans = open_rows.groupBy("group").agg(F.max("parts").alias("parts")).join(sizes, "group")
+    # what stayed outside, against all rows of its group, in blocks; each task has one block and a bounded part of the rows
+    parts = outside.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    spans = scratch.table(small(parts.join(spans, "group")), "parts")
     part, salt = F.pmod(F.xxhash64("rep"), F.col("parts")), F.pmod(F.xxhash64("rep", F.lit("salt")), F.col("salts"))
-    first = outside.join(spans, "group").select("group", "rep", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    second = rows.select("group", "rep").join(spans, "group").select("group", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt.alias("salt"))
+    first = outside.join(beside(spans), "group").select("group", "rep", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    second = rows.select("group", "rep").join(beside(spans), "group").select("group", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), salt.alias("salt"))
     dealt = first.withColumn("kind", F.lit(0)).unionByName(second.withColumn("kind", F.lit(1))).join(rows.select("rep", "set"), "rep")
-    dealt = dealt.select(F.xxhash64("group", "part", "salt").alias("task"), "kind", "rep", "set").repartition(partitions(spark), "task").sortWithinPartitions("task", "kind", "rep")
+    dealt = dealt.select(F.xxhash64("group", "part", "salt").alias("task"), "kind", "rep", "set").repartition(partitions(spark), "task")
+    dealt = gathered(dealt, spans.agg(F.sum(F.col("parts") * F.col("salts"))).first()[0], 1).sortWithinPartitions("task", "kind", "rep")
     return links.unionByName(scratch.table(dealt.mapInArrow(_blocks(percent), "a long, b long"), "blocks"))
 
 
@@ -297,8 +327,9 @@ def near_duplicates(
 
     Links documents with 100 * |A & B| >= percent * |A | B| and follows links to components, named
     by their smallest doc_id. A pair at the threshold is lost with a chance below 1e-6 (three trees
-    of four branches each; higher similarity: less), and a sketch of 64 tokens that agrees on less
-    than `least_agree` of them has, at similarity 0.85, a chance of about 1e-7.
+    of four branches each; higher similarity: less), and its sketches of 64 tokens agree on less
+    than `least_agree` of them with a chance of about 6e-7 at similarity 0.85 and 0.6, of about 4e-6
+    at 0.80 and 0.55.
     Null, empty and blank texts have no shingles, link with nothing and are kept. A null doc_id gets
     component null and kept null. Rows that repeat a doc_id are equal members of its component.
     Extra columns are ignored. An empty table gives no rows.
@@ -309,50 +340,57 @@ def near_duplicates(
     signed = scratch.table(docs.mapInArrow(_signatures, _SIGNATURE), "signatures")
     with_set = signed.where("n_shingles > 0 and doc_id is not null")
     classes = with_set.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
-    reps = scratch.table(classes, "classes")
-    sketches = reps.select("rep", "n_shingles", "sketch")
+    reps = scratch.table(gathered(classes, signed.count(), 1 << 13), "classes")
+    sketches, count = reps.select("rep", "n_shingles", "sketch"), reps.count()
 
     paths = scratch.table(sketches.mapInArrow(_roots(trees, branches), "node long, rep long").withColumn("size", F.lit(None).cast("long")), "paths0")
-    leaves, merged, depth = [], [], 0
+    leaves, merged, depth, rows, edges = [], [], 0, count * trees * branches, 0
     while True:
         sizes = paths.groupBy("node").agg(F.count("*").alias("n"), F.any_value("size").alias("parent"), F.min("rep").alias("first")).where("n > 1")
-        sizes = scratch.table(sizes, f"sizes{depth}")
-        leaves.append(paths.join(sizes.where(F.col("n") <= leaf).select("node"), "node").select("node", "rep"))
-        large = sizes.where(F.col("n") > leaf)
-        if large.isEmpty():
+        sizes = scratch.table(gathered(sizes, rows, 1 << 17), f"sizes{depth}")
+        told = sizes.agg(F.coalesce(F.sum(F.when(F.col("n") <= leaf, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") > leaf, F.col("n"))), F.lit(0))).first()
+        leaves.append(gathered(paths.join(sizes.where(F.col("n") <= leaf).select("node"), "node").select("node", "rep"), told[0]))
+        edges += told[0] + told[1]
+        if not told[1]:
             break
+        large = sizes.where(F.col("n") > leaf)
         dense = large.where("2 * n >= parent")
-        merged.append(paths.join(dense.select("node", "first"), "node").select(F.col("first").alias("a"), F.col("rep").alias("b")))
-        again = paths.drop("size").join(large.where("parent is null or 2 * n < parent").select("node", F.col("n").alias("size")), "node").join(sketches, "rep")
-        depth += 1
+        merged.append(gathered(paths.join(dense.select("node", "first"), "node").select(F.col("first").alias("a"), F.col("rep").alias("b")), told[1]))
+        again = gathered(paths.drop("size").join(large.where("parent is null or 2 * n < parent").select("node", F.col("n").alias("size")), "node"), told[1])
+        again = gathered(again.join(sketches, "rep"), told[1], 1 << 13)
+        depth, rows = depth + 1, told[1] * branches
         paths = scratch.table(again.select("node", "rep", "size", "sketch").mapInArrow(_branch(branches), "node long, rep long, size long"), f"paths{depth}")
 
     every = leaves[0]
     for more in leaves[1:]:
         every = every.unionByName(more)
     n = partitions(spark)
-    near = every.join(sketches, "rep").repartition(n, "node").sortWithinPartitions("node").mapInArrow(_leaf_links(percent / 100, least_agree), "a long, b long")
+    met = gathered(every.join(sketches, "rep"), edges, 1 << 14).repartition(n, "node")
+    near = gathered(met, edges, 1 << 14).sortWithinPartitions("node").mapInArrow(_leaf_links(percent / 100, least_agree), "a long, b long")
     for more in merged:
         near = near.unionByName(more.where("a <> b"))
-    groups = connected_components(near, scratch, "near").select(F.col("id").alias("rep"), F.col("component").alias("group"))
-    groups = groups.join(sketches.select("rep", "n_shingles"), "rep")
-    size = groups.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("total"))
+    groups = connected_components(near, scratch, "near", edges).select(F.col("id").alias("rep"), F.col("component").alias("group"))
+    groups = scratch.table(gathered(groups.join(sketches.select("rep", "n_shingles"), "rep"), count), "groups")
+    size = gathered(groups.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("total")), count)
     small = (F.col("rows") <= group_rows) & (F.col("total") <= group_shingles)
-    members = scratch.table(groups.join(size, "group").select("group", "rep", small.alias("small")), "members")
+    members = scratch.table(gathered(groups.join(size, "group").select("group", "rep", small.alias("small")), count), "members")
 
-    count = members.count()
+    told = {r.small: r["count"] for r in members.groupBy("small").count().collect()}  # two rows at most
     side = members.withColumnRenamed("rep", "doc_id")
-    side = F.broadcast(side) if count <= broadcast_rows else side
+    side = F.broadcast(side) if sum(told.values()) <= broadcast_rows else side
     texts = docs.join(side, "doc_id").withColumnRenamed("doc_id", "rep")
-    done = texts.where("small").select("group", "rep", "text").repartition(n, "group").sortWithinPartitions("group").mapInArrow(_resolve(percent), "rep long, component long")
-    done = scratch.table(done.groupBy("rep").agg(F.min("component").alias("component")), "resolved")
-    if not members.where("not small").isEmpty():
-        sets = scratch.table(texts.where("not small").select("group", "rep", "text").mapInArrow(_sets, "group long, rep long, set binary").dropDuplicates(["rep"]), "sets")
-        links = _large_groups(sets, sketches.select("rep", "sketch"), percent, scratch)
-        parts = connected_components(links, scratch, "parts").select(F.col("id").alias("rep"), "component")
+    done = gathered(texts.where("small").select("group", "rep", "text").repartition(n, "group"), told.get(True, 0), 1 << 9).sortWithinPartitions("group").mapInArrow(_resolve(percent), "rep long, component long")
+    done = scratch.table(gathered(done.groupBy("rep").agg(F.min("component").alias("component")), told.get(True, 0)), "resolved")
+    if large := told.get(False, 0):
+        sets = texts.where("not small").select("group", "rep", "text").mapInArrow(_sets, "group long, rep long, set binary")
+        sets = gathered(sets.dropDuplicates(["rep"]), large, 1 << 11).join(sketches.select("rep", "sketch"), "rep")
+        tokens = F.array(*[F.conv(F.hex(F.substring("sketch", 4 * c * (SKETCH // _TOKENS) + 1, 4)), 16, 10).cast("long") for c in range(_TOKENS)])
+        sets = scratch.table(gathered(sets, large, 1 << 11).select("group", "rep", tokens.alias("tokens"), "set"), "sets")
+        links = _large_groups(sets, large, percent, scratch)
+        parts = connected_components(links, scratch, "parts", large).select(F.col("id").alias("rep"), "component")
         done = done.unionByName(parts)
     top = reps.select("n_shingles", "set_a", "set_b", "rep").join(done, "rep", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.drop("sketch").join(top, ["n_shingles", "set_a", "set_b"], "left")
+    out = signed.drop("sketch").join(gathered(top, count), ["n_shingles", "set_a", "set_b"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
 
