@@ -41,7 +41,7 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return (best >> U(32)).astype(np.uint32)
 
 
-_SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"
+_SIGNATURE = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, sketch binary"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,8 +57,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b.append(int(mix(s + U(77)).sum(dtype=U).astype(np.int64)) if c else 0)
             sketches.append(sketch(s).tobytes() if c else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sketches, pa.binary())],
+            names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "sketch"],
         )
 
 
@@ -321,26 +321,28 @@ def _large_groups(rows: DataFrame, count: int, percent: int, scratch: Scratch, h
 
 
 def near_duplicates(
-    docs: DataFrame, *, percent: int = 85, trees: int = 3, branches: int = 4, leaf: int = 1024, least_agree: float = 0.6, group_rows: int = 256, group_shingles: int = 1 << 20, broadcast_rows: int = 1 << 20
+    docs: DataFrame, *, percent: int = 85, trees: int = 3, branches: int = 4, leaf: int = 1024, least_agree: float = 0.6, group_rows: int = 256, group_shingles: int = 1 << 20, broadcast_rows: int = 1 << 19
 ) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row per row of docs.
+    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, text_key, first; one row per row of docs.
 
     Links documents with 100 * |A & B| >= percent * |A | B| and follows links to components, named
     by their smallest doc_id. A pair at the threshold is lost with a chance below 1e-6 (three trees
     of four branches each; higher similarity: less), and its sketches of 64 tokens agree on less
     than `least_agree` of them with a chance of about 6e-7 at similarity 0.85 and 0.6, of about 4e-6
     at 0.80 and 0.55.
-    Null, empty and blank texts have no shingles, link with nothing and are kept. A null doc_id gets
-    component null and kept null. Rows that repeat a doc_id are equal members of its component.
-    Extra columns are ignored. An empty table gives no rows.
+    Null, empty and blank texts have no shingles, link with nothing and are kept. A null doc_id links as
+    any other and names no component that has another; kept is doc_id <=> component_id. Rows that repeat a
+    doc_id with different texts are documents of their own; text_key (xxhash64 of the text) tells them apart,
+    and first marks the smallest (doc_id, text_key) of a component. Extra columns are ignored. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     signed = scratch.table(docs.mapInArrow(_signatures, _SIGNATURE), "signatures")
-    with_set = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = with_set.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
-    reps = scratch.table(gathered(classes, signed.count(), 1 << 13), "classes")
+    key = F.struct("doc_id", "text_key")
+    classes = signed.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("low"), F.min(key).alias("lead"), F.any_value("sketch").alias("sketch"))
+    reps = scratch.table(gathered(classes, signed.count(), 1 << 13).withColumn("rep", F.monotonically_increasing_id()), "classes")
     sketches, count = reps.select("rep", "n_shingles", "sketch"), reps.count()
 
     paths = scratch.table(sketches.mapInArrow(_roots(trees, branches), "node long, rep long").withColumn("size", F.lit(None).cast("long")), "paths0")
@@ -370,16 +372,17 @@ def near_duplicates(
     for more in merged:
         near = near.unionByName(more.where("a <> b"))
     groups = connected_components(near, scratch, "near", edges).select(F.col("id").alias("rep"), F.col("component").alias("group"))
-    groups = scratch.table(gathered(groups.join(sketches.select("rep", "n_shingles"), "rep"), count), "groups")
+    groups = scratch.table(gathered(groups.join(reps.select("rep", "n_shingles", "lead.*"), "rep"), count), "groups")
     size = gathered(groups.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("total")), count)
     small = (F.col("rows") <= group_rows) & (F.col("total") <= group_shingles)
-    members = scratch.table(gathered(groups.join(size, "group").select("group", "rep", small.alias("small")), count), "members")
+    members = scratch.table(gathered(groups.join(size, "group").select("group", "rep", "doc_id", "text_key", small.alias("small")), count), "members")
 
     told = {r.small: r["count"] for r in members.groupBy("small").count().collect()}  # two rows at most
-    side = members.withColumnRenamed("rep", "doc_id")
+    side = members.withColumnsRenamed({"doc_id": "own_id", "text_key": "own_key"})
     side = F.broadcast(side) if sum(told.values()) <= broadcast_rows else side
-    texts = docs.join(side, "doc_id").withColumnRenamed("doc_id", "rep")
-    done = gathered(texts.where("small").select("group", "rep", "text").repartition(n, "group"), told.get(True, 0), 1 << 9).sortWithinPartitions("group").mapInArrow(_resolve(percent), "rep long, component long")
+    texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")))
+    few = texts.where("small").select("group", "rep", "text").dropDuplicates(["rep"])
+    done = gathered(gathered(few, told.get(True, 0), 1 << 9).repartition(n, "group"), told.get(True, 0), 1 << 9).sortWithinPartitions("group").mapInArrow(_resolve(percent), "rep long, component long")
     done = scratch.table(gathered(done.groupBy("rep").agg(F.min("component").alias("component")), told.get(True, 0)), "resolved")
     if large := told.get(False, 0):
         sets = texts.where("not small").select("group", "rep", "text").mapInArrow(_sets, "group long, rep long, set binary")
@@ -389,10 +392,15 @@ def near_duplicates(
         links = _large_groups(sets, large, percent, scratch)
         parts = connected_components(links, scratch, "parts", large).select(F.col("id").alias("rep"), "component")
         done = done.unionByName(parts)
-    top = reps.select("n_shingles", "set_a", "set_b", "rep").join(done, "rep", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
+    done = done.join(reps.select("rep", "low", "lead"), "rep")
+    named = gathered(done.groupBy("component").agg(F.min("low").alias("component_id"), F.min("lead").alias("first")), count)
+    done = gathered(done.select("rep", "component").join(named, "component"), count).drop("component")
+    top = reps.select("n_shingles", "set_a", "set_b", "rep", "low", "lead").join(done, "rep", "left")
+    top = top.select("n_shingles", "set_a", "set_b", F.when(F.col("first").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("first", "lead").alias("first"))
     out = signed.drop("sketch").join(gathered(top, count), ["n_shingles", "set_a", "set_b"], "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    first = F.when(F.col("n_shingles") == 0, F.lit(True)).otherwise(key.eqNullSafe(F.col("first")))
+    return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "text_key", first.alias("first"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

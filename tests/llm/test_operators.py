@@ -64,6 +64,14 @@ def test_near_duplicates(docs, empty, options):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    rows = [(7, BASE[0]), (3, BASE[1]), (3, BASE[0] + " x"), (3, "quite another text of some length here"), (None, BASE[0]), (None, BASE[2]), (None, BASE[2]), (9, None), (None, None), (5, BASE[1]), (5, BASE[1])]
+    got = near_dedup.near_duplicates(spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, first double").repartition(3)).collect()
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in got)
+    assert found == Counter([(7, 3, False), (3, 3, True), (3, 3, True), (3, 3, True), (None, 3, False), (None, None, True), (None, None, True), (9, 9, True), (None, None, True), (5, 3, False), (5, 3, False)])
+    assert sum(r.first for r in got) == 1 + 1 + 1 + 2 + 2  # a component each: base 0, base 1, the other text, base 2 twice, no text twice
+
+
 def test_lines(docs, empty):
     got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(docs.where("doc_id is not null")).collect()}
     seen = []
