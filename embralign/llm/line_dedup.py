@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._base import Scratch, partitions, read_table
+from ._base import Scratch, gathered, partitions, read_table
 from ._graph import connected_components
 from ._text import SPACED, U, as_bytes, distinct_by_group, hash_words, mix, shingle_hashes, small_batches, sort_by_group
 from .near_dedup import grouped
@@ -50,25 +51,34 @@ def lines_of(column: pa.Array, least: int = WORDS, chosen: Callable[[np.ndarray,
 
 
 def line_key(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set."""
+    """64 bits of each set's name."""
     if not len(n):
         return np.empty(0, np.int64)
     begin = np.cumsum(n) - n
     return mix(np.add.reduceat(mix(tokens + U(0x51)), begin) ^ (n.astype(U) << U(48)) ^ np.bitwise_xor.reduceat(tokens, begin)).view(np.int64)
 
 
+def line_tail(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """32 more bits of the name: lines are equal if both parts are (at 1e12 lines the chance of any false pair is about 6e-6)."""
+    if not len(n):
+        return np.empty(0, np.int32)
+    return (mix(np.add.reduceat(tokens, np.cumsum(n) - n)) >> U(32)).astype(np.uint32).view(np.int32)
+
+
 def _names_and_counts(least: int):
     """A row for each line, then the task's tokens in each bucket: a row for each slice of buckets, numbered from -1 down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        names = ["doc_id", "number", "line", "counts"]
+        names = ["doc_id", "text_key", "number", "line", "tail", "counts"]
         for batch in small_batches(batches, "text"):
             owner, number, tokens, n = lines_of(batch.column("text"), least)
             total += np.bincount((tokens >> U(46)).astype(np.int64), minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(number), pa.array(line_key(tokens, n)), pa.nulls(len(owner), pa.binary())], names=names)
+            owner = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("text_key").take(owner), pa.array(number, pa.int32()), pa.array(line_key(tokens, n)), pa.array(line_tail(tokens, n)), pa.nulls(len(owner), pa.binary())], names=names)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.array(-1 - np.arange(SLICES)), pa.nulls(SLICES, pa.int64()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=names)
+            none = pa.nulls(SLICES, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(-1 - np.arange(SLICES), pa.int32()), none, pa.nulls(SLICES, pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=names)
 
     return run
 
@@ -78,13 +88,13 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, x in zip(batch.column("number").to_pylist(), batch.column("counts"), strict=True):
             sums[k] = sums.get(k, 0) + np.frombuffer(x.as_buffer(), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["number", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["number", "counts"])
 
 
 def bucket_counts(named: DataFrame) -> np.ndarray:
     """Tokens of all lines in each bucket: BUCKETS numbers, summed on executors."""
     out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
-    for r in named.where("number < 0").select("number", "counts").repartition(SLICES, "number").mapInArrow(_sum_slices, "number long, counts binary").collect():  # SLICES rows
+    for r in named.where("number < 0").select("number", "counts").repartition(SLICES, "number").mapInArrow(_sum_slices, "number int, counts binary").collect():  # SLICES rows
         out[-1 - r.number] = np.frombuffer(r.counts, np.int64)
     return out.reshape(-1)
 
@@ -182,21 +192,24 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, number, tokens, n = lines_of(batch.column("text"), chosen=lambda o, k, pairs=pairs: np.isin((o << 32) | k, pairs))
         begin = np.cumsum(n) - n
         sets = [tokens[a : a + k].tobytes() for a, k in zip(begin.tolist(), n.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(line_key(tokens, n)), batch.column("doc_id").take(pa.array(owner)), pa.array(number), pa.array(sets, pa.binary())], names=["line", "doc_id", "number", "set"])
+        owner = pa.array(owner)
+        columns = [pa.array(line_key(tokens, n)), pa.array(line_tail(tokens, n)), batch.column("doc_id").take(owner), batch.column("text_key").take(owner), pa.array(number, pa.int32()), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["line", "tail", "doc_id", "text_key", "number", "set"])
 
 
 def _later_matches(percent: int):
     """The lines of each list task that an earlier line of the task matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gone: set[int] = set()
+        gone: set[tuple[int, int]] = set()
         for group in grouped(batches, "task"):
-            line = group.column("line").to_numpy()
-            n, rank = group.column("n").to_numpy().astype(np.int64), group.column("rank").to_numpy().astype(np.int64)
-            sets = [np.frombuffer(x, U) for x in group.column("set").to_pylist()]
+            line = list(zip(group.column("line").to_pylist(), group.column("tail").to_pylist(), strict=True))
+            rank = group.column("rank").to_numpy().astype(np.int64)
+            sets = [np.frombuffer(x.as_buffer(), U) for x in group.column("set")]
+            n = np.array([len(x) for x in sets], np.int64)
             found = []
             for i in range(1, len(line)):  # rows come in the order of first places
-                if int(line[i]) in gone:
+                if line[i] in gone:
                     continue
                 need = -(-percent * (n[i] + n[:i]) // (100 + percent))
                 y = np.flatnonzero((100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])) & (np.minimum(n[i] - rank[i], n[:i] - rank[:i]) >= need))
@@ -207,86 +220,111 @@ def _later_matches(percent: int):
                     hit = sets[i][np.minimum(at, len(sets[i]) - 1)] == values
                     inter = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[part]) - n[part])
                     if (100 * inter >= percent * (n[i] + n[part] - inter)).any():
-                        gone.add(int(line[i]))
-                        found.append(int(line[i]))
+                        gone.add(line[i])
+                        found.append(line[i])
                         break
             if len(gone) > 1 << 20:
                 gone.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["line"])
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int32())], names=["line", "tail"])
 
     return run
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.names
-        texts, total, gone = [], [], []
-        for text, drop in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
-            parts = text.split("\n") if text is not None else []
-            out = set(drop or ())
-            texts.append("\n".join(x for i, x in enumerate(parts) if i not in out) if text is not None else None)
-            total.append(len(parts))
-            gone.append(len(out))
-        arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names if c != "removed"]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*(c for c in names if c != "removed"), "n_lines", "n_removed"])
-
-
-def remove_repeated_lines(docs: DataFrame, *, least_words: int = WORDS, percent: int = 80, block: int = 2048, long_tokens: int = 512, long_block: int = 64, broadcast_rows: int = 1 << 20) -> DataFrame:
+def _without(removed: str, n_lines: str, n_removed: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [c for c in batch.schema.names if c != removed]
+            texts, total, gone = [], [], []
+            for text, drop in zip(batch.column("text").to_pylist(), batch.column(removed).to_pylist(), strict=True):
+                parts = text.split("\n") if text is not None else []
+                out = set(drop or ())
+                texts.append("\n".join(x for i, x in enumerate(parts) if i not in out) if out else text)
+                total.append(len(parts))
+                gone.append(len(out))
+            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, n_lines, n_removed])
+
+    return run
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """name with so many underscores that no column has it, in any case."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def _beside(side: DataFrame, numbers: str, most: int) -> DataFrame:
+    """side (a row for each text, with an array of numbers) to be broadcast if its measured size allows, else to be joined as the planner likes."""
+    told = side.agg(F.count("*"), F.coalesce(F.sum(F.size(numbers)), F.lit(0))).first()
+    return F.broadcast(side) if 96 * told[0] + 8 * told[1] <= most else side
+
+
+def remove_repeated_lines(docs: DataFrame, *, least_words: int = WORDS, percent: int = 80, block: int = 2048, long_tokens: int = 512, long_block: int = 64, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """docs (doc_id, text, ...) -> the same rows and columns with the later lines gone from text, and n_lines, n_removed.
 
     Lines end at line feeds; ASCII case doesn't count. Lines with fewer than `least_words` words
-    stay (with 1 only those without a word); of fewer than five words the whole sequence counts. Of equal lines in one text the first stays. Null texts stay null with 0 lines; a null doc_id comes first in
-    the order, and rows that repeat a doc_id are one document: their equal lines at the same place stay.
-    Columns n_lines, n_removed and removed of docs, if any, are replaced. An empty table gives no rows.
+    stay (with 1 only those without a word); of fewer than five words the whole sequence counts. Of equal
+    lines in one text the first stays. Texts come in the order of doc_id (null first), those that share a doc_id
+    in the order of the xxhash64 of the text; only rows equal in both are one record, which keeps
+    or loses the same lines in each of them. Null texts stay null with 0 lines. Columns n_lines and n_removed
+    of docs, if any, are replaced; other columns pass through, whatever their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    docs = docs.drop("n_lines", "n_removed", "removed")
-    texts = docs.select("doc_id", "text")
-    named = scratch.table(texts.mapInArrow(_names_and_counts(least_words), "doc_id long, number long, line long, counts binary"), "lines")
-    lines = named.where("number >= 0").drop("counts")
+    docs = docs.drop("n_lines", "n_removed")
+    text_key = F.xxhash64("text")
+    texts = docs.select("doc_id", text_key.alias("text_key"), "text")
+    named = scratch.table(texts.mapInArrow(_names_and_counts(least_words), "doc_id long, text_key long, number int, line long, tail int, counts binary"), "lines")
+    lines, n_lines = named.where("number >= 0").drop("counts"), named.count()
     counts, n = bucket_counts(named), partitions(spark)
     order = np.empty(BUCKETS, U)
     order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=U)
-    parts = max(8 * n, int(counts.sum()) * (100 - percent) // 100 >> 18)  # about 2^18 postings each, or fewer
+    posts = int(counts.sum()) * (100 - percent) // 100
+    parts = max(8 * n, posts >> 18)  # about 2^18 postings each, or fewer
     posted = texts.mapInArrow(_postings(spark.sparkContext.broadcast(order), least_words, percent, parts), "part int, postings binary")
-    lists = posted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_shared_lists(percent), "token long, line long, n int, rank int, member long, head int, size long")
+    posted = gathered(posted.repartition(n, "part"), posts, 1 << 18).sortWithinPartitions("part")
+    lists = posted.mapInArrow(_shared_lists(percent), "token long, line long, n int, rank int, member long, head int, size long")
     lists = scratch.table(lists, "lists0")
+    listed = lists.count()
+    few = lambda df, rows=listed, each=1 << 15: gathered(df, rows, each)
     # Of lists with the same lines, the first in the global order decides: it comes first in each of them.
-    chosen = lists.groupBy("member").agg(F.min(F.struct("head", "token")).alias("c")).select("member", F.col("c.token").alias("token"))
-    lists = lists.join(chosen, ["member", "token"])
+    chosen = few(lists.groupBy("member").agg(F.min(F.struct("head", "token")).alias("c")).select("member", F.col("c.token").alias("token")))
+    lists = few(lists.join(chosen, ["member", "token"]))
     blocks = F.ceil(F.col("size") / block).cast("int")
     lists = lists.withColumn("mine", F.pmod(F.xxhash64("line"), blocks).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), blocks - 1)))
     lists = scratch.table(lists.select(F.xxhash64("token", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("task"), "line", "n", "rank"), "lists")
     scratch.drop("lists0")
-    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("copies"))
-    first = scratch.table(first.where("copies > 1").select("line", "first").unionByName(first.where("copies = 1").join(lists.select("line").distinct(), "line", "left_semi").select("line", "first")), "first")
-    listed = first.join(lists.select("line").distinct(), "line", "left_semi")
-    wanted = scratch.table(listed.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.number").alias("wanted")), "wanted")
-    beside = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    sets = texts.join(beside, texts.doc_id.eqNullSafe(beside.doc_id)).select(texts.doc_id, "text", "wanted")
-    sets = scratch.table(sets.mapInArrow(_full_sets, "line long, doc_id long, number long, set binary").dropDuplicates(["line"]), "sets")
+    some = scratch.table(few(lists.select("line").distinct()), "listed")
+    place = F.struct("doc_id", "text_key", "number")
+    first = gathered(lines.groupBy("line", "tail").agg(F.min(place).alias("first"), F.count("*").alias("copies")), n_lines)
+    marked = some.withColumn("listed", F.lit(True))
+    first = scratch.table(gathered(first.join(marked, "line", "left").where("copies > 1 or listed"), n_lines).select("line", "tail", "first", "copies", F.coalesce("listed", F.lit(False)).alias("listed")), "first")
+    wanted = first.where("listed").groupBy(F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key")).agg(F.collect_set("first.number").alias("wanted"))
+    wanted = scratch.table(few(wanted), "wanted")
+    sets = texts.join(_beside(wanted, "wanted", broadcast_bytes), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))).select("doc_id", "text_key", "text", "wanted")
+    sets = sets.mapInArrow(_full_sets, "line long, tail int, doc_id long, text_key long, number int, set binary").dropDuplicates(["line", "tail"])
+    sets = scratch.table(few(sets, listed, 1 << 13), "sets")
     # A prefix grows with its set, so long sets don't travel with every prefix token: lines that share lists form groups, dealt in pairs of blocks.
     long = lists.where(F.col("n") > long_tokens * percent // 100).select("task", "line", "n")
-    heads = long.groupBy("task").agg(F.min("line").alias("a"))
-    groups = connected_components(long.join(heads, "task").select("a", F.col("line").alias("b")).distinct(), scratch, "long").withColumnRenamed("id", "line")
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / long_block).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "component").join(long.select("line", "n").distinct(), "line").withColumn("mine", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
+    heads = few(long.groupBy("task").agg(F.min("line").alias("a")))
+    groups = connected_components(few(long.join(heads, "task")).select("a", F.col("line").alias("b")), scratch, "long", listed).withColumnRenamed("id", "line")
+    sizes = few(groups.groupBy("component").agg(F.ceil(F.count("*") / long_block).cast("int").alias("blocks")))
+    dealt = few(few(groups.join(sizes, "component")).join(few(long.select("line", "n").distinct()), "line")).withColumn("mine", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("component", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("task"), "line", "n", F.lit(0).alias("rank"))
     lists = lists.where(F.col("n") <= long_tokens).unionByName(dealt)
-    met = lists.join(sets, "line").repartition(n, "task").sortWithinPartitions("task", "doc_id", "number", "line")
-    gone = scratch.table(met.select("task", "line", "n", "rank", "set").mapInArrow(_later_matches(percent), "line long").distinct(), "gone")
-    marked = first.join(gone.withColumn("matched", F.lit(True)), "line", "left")
-    later = lines.join(marked, "line").where(F.col("matched") | ~F.struct("doc_id", "number").eqNullSafe(F.col("first")))
-    removed = scratch.table(later.groupBy("doc_id").agg(F.collect_set("number").alias("removed")), "removed")
-    beside = removed.withColumnRenamed("doc_id", "removed_doc")
-    beside = F.broadcast(beside) if removed.count() <= broadcast_rows else beside
-    out = docs.join(beside, docs["doc_id"].eqNullSafe(F.col("removed_doc")), "left").drop("removed_doc")
-    from pyspark.sql import types as T
-
+    met = few(lists.join(sets, "line").repartition(n, "task"), listed, 1 << 14).sortWithinPartitions("task", "doc_id", "text_key", "number", "line", "tail")
+    gone = met.select("task", "line", "tail", "rank", "set").mapInArrow(_later_matches(percent), "line long, tail int").distinct()
+    gone = scratch.table(few(gone), "gone")
+    marked = gathered(first.select("line", "tail", "first", "copies").join(gone.withColumn("matched", F.lit(True)), ["line", "tail"], "left").where("matched or copies > 1"), n_lines)
+    later = gathered(lines.join(marked, ["line", "tail"]), n_lines, 1 << 18).where(F.col("matched") | ~place.eqNullSafe(F.col("first")))
+    removed = scratch.table(gathered(later.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("removed")), n_lines), "removed")
+    own_id, own_key, gone_at = (_free(c, docs.columns) for c in ("own_id", "own_key", "removed"))
+    beside = _beside(removed, "removed", broadcast_bytes).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("removed").alias(gone_at))
+    out = docs.join(beside, docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs["text"]) == F.col(own_key)), "left").drop(own_id, own_key)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return out.mapInArrow(_without, schema)
+    return out.mapInArrow(_without(gone_at, "n_lines", "n_removed"), schema)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,28 @@ def test_lines(docs, empty):
     assert "score" in got[0] and line_dedup.remove_repeated_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"long_tokens": 4, "block": 2, "long_block": 2}])
+def test_lines_of_repeated_and_null_ids(spark, options):
+    a, b, c, d = (prose(n) for n in (30, 25, 12, 3))
+    rows = [(1, a), (2, a + "\n" + d), (2, b), (2, b), (3, d + "\n" + b + " tail\n" + c), (None, c), (None, c + " more\n" + d), (None, None), (4, ""), (5, a.replace(" ", "  ", 3).upper() + "\n" + prose(9))]
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, removed_doc string, own_id int").repartition(3)
+    got = {r.own_id: r for r in line_dedup.remove_repeated_lines(docs, least_words=1, **options).collect()}
+    key = {r.own_id: r.k for r in docs.select("own_id", F.xxhash64("text").alias("k")).collect()}
+    order = sorted({(i is not None, i or 0, key[k], t or "") for k, (i, t) in enumerate(rows)})
+    seen, keep = [], {}
+    for _, i, k, t in order:
+        lines = keep[i, k] = []
+        for line in t.split("\n"):
+            s = shingles(line)
+            if not s or not any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                lines.append(line)
+            if s:
+                seen.append(s)
+    for k, (i, t) in enumerate(rows):
+        assert got[k].text == (None if t is None else "\n".join(keep[i or 0, key[k]])) and got[k].removed_doc == "x"
+    assert sum(r.n_removed for r in got.values()) == sum(len((t or "").split("\n")) - len(keep[i or 0, key[k]]) for k, (i, t) in enumerate(rows) if t is not None)
+
+
 def test_short_lines(spark, tmp_path):
     import corpus_pipeline
 
