@@ -1,17 +1,17 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The corpus is indexed in segments, each a few MB of text of one task: for every term of the test
-items' vocabulary that occurs, the ascending places of the term in the segment, and the documents'
-places. Segments are a Parquet table (store_index), made without a shuffle, and every query runs on
-each segment by itself. A window of a test item is looked up from its rarest term in the segment:
-the term's list, moved by the term's offset, gives candidate beginnings, and the lists of the other
-terms, rarest first and moved by their offsets, are intersected with it until none or the exact
-phrase occurrences are left. With a slack, lists match within so many places (proximity).
+The corpus is indexed in segments, each a few MB of text of one task: for every term that occurs, the
+ascending places of the term in the segment, and the documents' places. Segments are a Parquet table,
+made once without a shuffle, and any block of test items is looked up in it, in each segment by itself.
+A window of a test item begins at its rarest term in the segment: the term's list, moved by the term's
+offset, gives candidate beginnings, and the lists of the other terms, rarest first and moved by their
+offsets, are intersected with it until none or the exact phrase occurrences are left. With a slack,
+places within so many of the phrase's count too: those are the proximity matches. All windows of a block
+are looked up together, as arrays.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,40 +20,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import Scratch, read_table
-from ._text import ALNUM, U, as_bytes, hash_words, small_batches
+from ._text import ALNUM, U, as_bytes, hash_words, shingle_hashes, small_batches
 
 #: A block of test items is broadcast as a whole; larger item tables are queried block by block.
 BLOCK_ITEMS = 20_000
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Candidate beginnings, and window words, that are held at once.
+PAIRS = 1 << 19
 
 
 class Items:
-    """The windows of a block of test items."""
+    """The distinct windows of a block of test items: where each begins in the items' words, how long it is and whose it is."""
 
     def __init__(self, ids: list, texts: list, window: int):
         hashes, counts, _ = hash_words(*as_bytes(pa.array(texts, pa.string())), ALNUM)
-        self.ids, self.window = ids, window
+        self.ids = [str(x) for x in ids]
         self.terms, codes = np.unique(hashes, return_inverse=True)
-        seen: dict[bytes, int] = {}
-        words, owners, at = [], [], 0
-        for item, c in enumerate(counts.tolist()):
-            mine = codes[at : at + c].astype(np.int32)
-            at += c
-            for i in range(c - window + 1 if c >= window else min(c, 1)):
-                w = mine[i : i + window]
-                k = seen.setdefault(w.tobytes(), len(words))
-                if k == len(words):
-                    words.append(w)
-                    owners.append([])
-                if not owners[k] or owners[k][-1] != item:
-                    owners[k].append(item)
-        self.words, self.owners = words, owners
+        self.codes = codes.astype(np.int32)
+        names, per = shingle_hashes(hashes, counts, window)
+        item = np.repeat(np.arange(len(counts)), per)
+        begin = np.repeat(np.cumsum(counts) - counts, per) + np.arange(len(item)) - np.repeat(np.cumsum(per) - per, per)
+        _, first, which = np.unique(names, return_index=True, return_inverse=True)
+        self.begin, self.length = begin[first], np.minimum(counts[item[first]], window)
+        owned = np.unique(np.stack([which.reshape(-1), item], 1), axis=0) if len(item) else np.empty((0, 2), np.int64)
+        self.owner = owned[:, 1]
+        self.owners = np.searchsorted(owned[:, 0], np.arange(len(first) + 1))
+
+    def of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of windows: (place in windows, item) pairs."""
+        a, n = self.owners[windows], self.owners[windows + 1] - self.owners[windows]
+        at = np.repeat(np.arange(len(windows)), n)
+        return at, self.owner[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
 
 
 def item_blocks(items: DataFrame, window: int) -> Iterator[Items]:
     """Blocks of items (item_id, text) of bounded number and size, read one after the other."""
     ids, texts, size = [], [], 0
-    for row in items.select("item_id", "text").where("text is not null").orderBy("item_id").toLocalIterator():
+    for row in items.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         ids.append(row.item_id)
         texts.append(row.text)
         size += len(row.text)
@@ -64,95 +67,125 @@ def item_blocks(items: DataFrame, window: int) -> Iterator[Items]:
         yield Items(ids, texts, window)
 
 
-_INDEX = "doc_ids array<long>, rows array<long>, n_words array<long>, terms binary, ends binary, places binary"
-
-
-def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """docs (doc_id, text, row if rows are numbered) -> index segments with the postings of the given term hashes (sorted)."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        for batch in small_batches(batches, "text", 1 << 22):
-            hashes, counts, _ = hash_words(*as_bytes(batch.column("text")), ALNUM)
-            code = np.searchsorted(known, hashes)
-            hit = np.flatnonzero(known[np.minimum(code, len(known) - 1)] == hashes) if len(known) else np.empty(0, np.int64)
-            code = code[hit]
-            order = np.argsort(code, kind="stable")
-            # one free place between documents: no phrase crosses it, and places stay ascending
-            place = (hit + np.repeat(np.arange(len(counts)), counts)[hit])[order].astype(np.int32)
-            used, n = np.unique(code[order], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("doc_id", "row")]
-                + [pa.array([counts.tolist()], pa.list_(pa.int64()))]
-                + [pa.array([x.tobytes()], pa.binary()) for x in (used.astype(np.int32), np.cumsum(n).astype(np.int32), place)],
-                names=["doc_ids", "rows", "n_words", "terms", "ends", "places"],
-            )
-
-    row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long").alias("row")
-    return docs.select("doc_id", row, "text").mapInArrow(run, _INDEX)
-
-
-def intersect(lists: list[np.ndarray], offsets: list[int], slack: int = 0) -> np.ndarray:
-    """Beginnings of a phrase from its terms' ascending places (rarest list first), each term within slack of its place."""
-    begin = lists[0] - offsets[0]
-    for places, offset in zip(lists[1:], offsets[1:], strict=True):
-        if not len(begin):
-            break
-        want = begin + offset - slack
-        at = np.searchsorted(places, want)
-        begin = begin[(at < len(places)) & (places[np.minimum(at, len(places) - 1)] <= want + 2 * slack)]
-    return begin
-
-
-def search_index(index: DataFrame, items: Items, slack: int = 0) -> DataFrame:
-    """For each indexed document: doc_id, row, n_words, n_hit, runs, found (the item_ids with an occurring window, as strings).
-
-    runs holds the hit words of a numbered row as begin and end of each run of them, counted in the document.
+_INDEX = "doc_ids array<long>, text_keys array<long>, n_words array<long>, terms binary, ends binary, places binary"
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "text", 1 << 22):
+        hashes, counts, _ = hash_words(*as_bytes(batch.column("text")), ALNUM)
+        order = np.argsort(hashes, kind="stable")
+        terms, n = np.unique(hashes[order], return_counts=True)
+        # one free place between documents: no phrase crosses it, and places stay ascending
+        place = (np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts))[order].astype(np.int32)
+        longs = [pa.array([x], pa.list_(pa.int64())) for x in (batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), counts.tolist())]
+        blobs = [pa.array([x.tobytes()], pa.binary()) for x in (terms, np.cumsum(n).astype(np.int32), place)]
+        yield pa.RecordBatch.from_arrays([*longs, *blobs], names=["doc_ids", "text_keys", "n_words", "terms", "ends", "places"])
+
+
+def store_index(docs: DataFrame, scratch: Scratch, name: str = "index") -> DataFrame:
+    """docs (doc_id, text) -> the written index of all their words; a row for each segment, with its number."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_index, _INDEX)
+    return scratch.table(rows.withColumn("segment", F.monotonically_increasing_id()), name, **{"parquet.block.size": 32 << 20})
+
+
+def intersect(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which ranges from low to high (both included) hold a number of key (ascending)."""
+    at = np.searchsorted(key, low)
+    return (at < len(key)) & (key[np.minimum(at, len(key) - 1)] <= high)
+
+
+def occurrences(query: Items, terms: np.ndarray, ends: np.ndarray, places: np.ndarray, begins: np.ndarray, counts: np.ndarray, slack: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the windows in a segment's lists: window, place of its beginning, document, whether it is an exact phrase (else within the slack)."""
+    if not len(terms) or not len(query.terms):
+        return
+    span = int(begins[-1] + counts[-1]) + 2
+    sizes = np.diff(ends, prepend=0)
+    key = np.repeat(np.arange(len(terms), dtype=np.int64) * span, sizes) + places
+    slot = np.minimum(np.searchsorted(terms, query.terms), len(terms) - 1)
+    size = np.where(terms[slot] == query.terms, sizes[slot], 0)
+    start = ends[slot] - sizes[slot]
+    for n in np.unique(query.length).tolist():
+        every = np.flatnonzero(query.length == n)
+        for a in range(0, len(every), max(1, PAIRS // n)):
+            own = every[a : a + max(1, PAIRS // n)]
+            words = query.codes[query.begin[own][:, None] + np.arange(n)]
+            own, words = (x[size[words].all(1)] for x in (own, words))
+            order = np.argsort(size[words], axis=1, kind="stable")
+            rarest = words[np.arange(len(own)), order[:, 0]] if len(own) else np.empty(0, np.int64)
+            many = np.cumsum(size[rarest])
+            b = 0
+            while b < len(own):  # as many windows as have PAIRS candidates together, or one
+                c = max(b + 1, int(np.searchsorted(many, (many[b - 1] if b else 0) + PAIRS, side="right")))
+                k = size[rarest[b:c]]
+                w = np.repeat(np.arange(b, c), k)
+                place = places[np.repeat(start[rarest[b:c]], k) + np.arange(len(w)) - np.repeat(np.cumsum(k) - k, k)].astype(np.int64)
+                at = place - order[w, 0]
+                doc = np.searchsorted(begins, place, side="right") - 1
+                low, high = begins[doc], begins[doc] + counts[doc] - 1
+                left = np.flatnonzero((at >= low) & (at + n - 1 <= high))
+                exact = np.ones(len(left), bool)
+                for j in range(1, n):
+                    offset = order[w[left], j]
+                    base = slot[words[w[left], offset]] * span
+                    want = at[left] + offset
+                    same = intersect(key, base + want, base + want)
+                    near = same if not slack else same | intersect(key, base + np.maximum(want - slack, low[left]), base + np.minimum(want + slack, high[left]))
+                    left, exact = left[near], (exact & same)[near]
+                if len(left):
+                    yield own[w[left]], at[left], doc[left], exact
+                b = c
+
+
+def _lists(n: int, doc: np.ndarray, item: np.ndarray, ids: list[str]) -> list[list[str]]:
+    out: list[list[str]] = [[] for _ in range(n)]
+    for d, i in np.unique(np.stack([doc, item], 1), axis=0).tolist():
+        out[d].append(ids[i])
+    return [sorted(set(x)) for x in out]
+
+
+_FOUND = "segment long, place int, doc_id long, text_key long, n_words long, n_hit long, runs binary, found array<string>, near array<string>"
+
+
+def search_index(index: DataFrame, items: Items, slack: int = 0, every: bool = True) -> DataFrame:
+    """For each indexed document (if every, else for those with a match): n_words, n_hit, and as strings the item_ids with an occurring window (found) and with one within the slack (near).
+
+    segment and place tell documents apart. runs holds the hit words as begin and end of each run of them, counted in the document.
     """
     shared = index.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query = shared.value
         for batch in batches:
-            for ids, rows, n_words, *blobs in zip(*(batch.column(c) for c in ("doc_ids", "rows", "n_words", "terms", "ends", "places")), strict=True):
-                terms, ends, places = (np.frombuffer(x.as_py(), np.int32) for x in blobs)
-                counts = np.array(n_words.as_py(), np.int64)
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                ids, keys = row["doc_ids"].as_py(), row["text_keys"].as_py()
+                terms, ends, places = (np.frombuffer(row[c].as_buffer(), kind) for c, kind in (("terms", U), ("ends", np.int32), ("places", np.int32)))
+                counts = np.array(row["n_words"].as_py(), np.int64)
                 begins = np.cumsum(counts + 1) - counts - 1
-                slot = np.full(len(query.terms), -1, np.int64)
-                slot[terms] = np.arange(len(terms))
-                length = np.zeros(len(query.terms), np.int64)
-                length[terms] = np.diff(ends, prepend=0)
-                hit, found = np.zeros(int(counts.sum() + len(counts)) + 1, np.int32), [set() for _ in range(len(counts))]
-                for w, owners in zip(query.words, query.owners, strict=True):
-                    n = length[w]
-                    if not n.all():
-                        continue
-                    order = np.argsort(n, kind="stable").tolist()
-                    lists = [places[ends[s] - k : ends[s]] for s, k in ((slot[w[o]], n[o]) for o in order)]
-                    at = intersect(lists, order, slack)
-                    if not len(at):
-                        continue
-                    doc = np.searchsorted(begins, at, side="right") - 1
-                    inside = (at >= 0) & (at + len(w) <= begins[doc] + counts[doc]) if slack else np.ones(len(at), bool)
-                    np.add.at(hit, at[inside], 1)
-                    np.add.at(hit, at[inside] + len(w), -1)
-                    for d in np.unique(doc[inside]).tolist():
-                        found[d].update(owners)
+                hit = np.zeros(int(counts.sum() + len(counts)) + 1, np.int32)
+                found, near = [], []
+                for w, at, doc, exact in occurrences(query, terms, ends, places, begins, counts, slack):
+                    np.add.at(hit, at[exact], 1)
+                    np.add.at(hit, at[exact] + query.length[w[exact]], -1)
+                    for out, some in ((found, exact), (near, np.ones(len(w), bool))):
+                        pair, item = query.of(w[some])
+                        out.append(np.stack([doc[some][pair], item], 1))
                 inside = np.cumsum(hit[:-1]) > 0
                 covered = np.concatenate([[0], np.cumsum(inside)])
                 n_hit = covered[begins + counts] - covered[begins]
-                names = [sorted({str(query.ids[i]) for i in f}) for f in found]
-                numbered = rows.values.null_count == 0
                 edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)  # places between documents are never hit
                 cut = np.searchsorted(edges[:, 0], np.append(begins, len(inside)))
-                runs = [(edges[a:b] - at).astype(np.int32).tobytes() for at, a, b in zip(begins, cut[:-1], cut[1:], strict=True)] if numbered else [None] * len(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.as_py(), pa.int64()), pa.array(rows.as_py(), pa.int64()), pa.array(counts), pa.array(n_hit.astype(np.int64)), pa.array(runs, pa.binary()), pa.array(names, pa.list_(pa.string()))],
-                    names=["doc_id", "row", "n_words", "n_hit", "runs", "found"],
-                )
+                runs = [(edges[a:b] - at).astype(np.int32).tobytes() if b > a else None for at, a, b in zip(begins, cut[:-1], cut[1:], strict=True)]
+                found, near = (_lists(len(counts), *np.concatenate([np.empty((0, 2), np.int64), *x]).T, query.ids) for x in (found, near))
+                keep = np.arange(len(counts)) if every else np.flatnonzero([bool(x) for x in near])
+                take = lambda x, keep=keep: [x[k] for k in keep.tolist()]
+                columns = [
+                    pa.array(np.full(len(keep), row["segment"].as_py())), pa.array(keep.astype(np.int32)), pa.array(take(ids), pa.int64()), pa.array(take(keys), pa.int64()), pa.array(counts[keep]),
+                    pa.array(n_hit[keep].astype(np.int64)), pa.array(take(runs), pa.binary()), pa.array(take(found), pa.list_(pa.string())), pa.array(take(near), pa.list_(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["segment", "place", "doc_id", "text_key", "n_words", "n_hit", "runs", "found", "near"])
 
-    return index.mapInArrow(run, "doc_id long, row long, n_words long, n_hit long, runs binary, found array<string>")
+    return index.mapInArrow(run, _FOUND)
 
 
 def _union_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,43 +197,44 @@ def _union_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             runs = runs[np.argsort(runs[:, 0], kind="stable")].astype(np.int64)
             before = np.maximum.accumulate(np.concatenate([[0], runs[:, 1]]))[:-1]
             total.append(int(np.maximum(runs[:, 1] - np.maximum(runs[:, 0], before), 0).sum()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(total, pa.int64()), batch.column("found")], names=["doc_id", "n_words", "n_hit", "found"])
+        names = [c for c in batch.schema.names if c not in ("runs", "n_hit")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(total, pa.int64())], names=[*names, "n_hit"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, slack: int = 0) -> DataFrame:
-    """docs (doc_id, text), items (item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated; a row per row of docs.
+def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, slack: int = 2) -> DataFrame:
+    """docs (doc_id, text), items (item_id, text) -> doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, near_items, text_key; a row per row of docs.
 
     Words are runs of letters and digits after lower-casing A-Z. An item's windows are its runs of
     `window` words, or all its words if there are fewer; n_hit counts the document words inside any
-    occurrence. Null, empty and wordless texts and items have no windows and no hits; items with equal
-    texts all count. Items beyond one block are searched block by block over numbered rows, and a row's hits
-    are the union over the blocks. Rows that repeat a doc_id get a row each; extra columns are ignored;
-    without items nothing is contaminated.
+    exact occurrence, items are the item_ids with one (as strings, sorted). near_items are those with a window whose words
+    all stand within `slack` places of where the phrase has them, counted from its rarest word; a near
+    match alone doesn't contaminate. Null, empty and wordless texts and items have no windows and no hits; items with
+    equal texts all count. Items beyond one block are searched block by block in the same index, and a row's
+    hits are the union over the blocks. Rows that repeat a doc_id get a row each; extra columns are ignored;
+    without items nothing is contaminated. text_key is the xxhash64 of the text.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
-    filled = items.where("text is not null").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("size")).first()
-    many = filled.n >= BLOCK_ITEMS or filled["size"] >= BLOCK_BYTES
-    docs = docs.select("doc_id", "text")
-    if many:  # the numbers have to be the same for every block
-        docs = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
-    found = None
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    index = store_index(docs, scratch)
+    found, k = None, 0
     for k, block in enumerate(item_blocks(items, window)):
-        index = scratch.table(build_index(docs, block.terms), f"index{k}")
-        part = search_index(index, block, slack)
+        part = search_index(index, block, slack, every=not k)
         found = part if found is None else scratch.table(found, f"found{k}").unionByName(part)
     if found is None:
-        index = scratch.table(build_index(docs, np.empty(0, U)), "index")
         found = search_index(index, Items([], [], window), slack)
-    if many:
-        hits = F.collect_list(F.when(F.octet_length("runs") > 0, F.col("runs")))
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), hits.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
-        found = found.drop("row").mapInArrow(_union_of_runs, "doc_id long, n_words long, n_hit long, found array<string>")
-    return found.select("doc_id", "n_words", "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    if k:
+        union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+        one = [F.max(c).alias(c) for c in ("doc_id", "text_key", "n_words")]  # equal in all blocks
+        found = found.groupBy("segment", "place").agg(*one, F.collect_list("runs").alias("runs"), union("found"), union("near"))
+        found = found.mapInArrow(_union_of_runs, "segment long, place int, doc_id long, text_key long, n_words long, found array<string>, near array<string>, n_hit long")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.col("found").alias("items"), F.col("near").alias("near_items"), "text_key",
+    )
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 #: The same over DuckDB: every run of as many words as some window has is looked up among the windows.

@@ -213,10 +213,17 @@ def test_decontamination_of_many_blocks(spark, docs, monkeypatch):
         assert rows() == want
 
 
-def test_proximity():
-    lists = [np.array([10, 50]), np.array([12, 51])]
-    assert decontaminate.intersect(lists, [0, 1]).tolist() == [50]
-    assert decontaminate.intersect(lists, [0, 1], 1).tolist() == [10, 50]
+def test_proximity(spark):
+    w = [f"t{i}" for i in range(12)]
+    moved = " ".join([*w[:4], "odd", *w[4:]])
+    swapped = " ".join([*w[:5], w[6], w[5], *w[7:]])
+    far = " ".join([*w[:4], "odd odd odd", *w[4:]])
+    rows = [(1, " ".join(w)), (2, moved), (3, swapped), (4, far), (5, "t0 t1 t2 t3"), (6, " ".join(w[6:])), (7, " ".join(w[:6])), (None, moved)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([("q", " ".join(w))], "item_id string, text string")
+    got = decontaminate.contamination(docs, items, slack=1).collect()
+    assert [(r.doc_id, r["items"], r.near_items, r.n_hit) for r in got] == [(1, ["q"], ["q"], 12), (2, [], ["q"], 0), (3, [], ["q"], 0), *[(i, [], [], 0) for i in (4, 5, 6, 7)], (None, [], ["q"], 0)]
+    assert [r.near_items for r in decontaminate.contamination(docs, items, slack=0).collect()] == [["q"], *[[]] * 7]
 
 
 def test_vectors(spark):
