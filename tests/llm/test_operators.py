@@ -292,10 +292,58 @@ def test_html(spark):
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    kept = [prose(60) + "\n" + prose(30) for _ in range(12)]
+    whole = [prose(60) + "\n" + prose(30) for _ in range(8)]
     leak = prose(15)
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate([*kept, kept[0], kept[1] + " x", "123 456", None, prose(20) + " " + leak])]
+    near = whole[1].replace("\n", " ").split()
+    texts = [(i, t) for i, t in enumerate(whole)] + [
+        (20, whole[0]), (None, " ".join([*near[:40], "odd", *near[40:]])), (21, "123 456"), (22, None), (22, ""), (23, prose(20) + " " + leak), (23, prose(25)), (None, prose(9) + " " + leak.upper()),
+        (24, prose(30) + "\n" + whole[2].split("\n")[0] + " tail\nshort line"), (25, "short line\n" + prose(14)), (25, "Short  line"),
+    ]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
-    assert sorted(r.doc_id for r in got) == list(range(12))
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, spark.range(1).select(F.xxhash64(F.lit(r.text))).first()[0], r.text)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = sorted((r for r in docs.collect()), key=key)
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if k < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        want, seen = [], []
+        for r in before:
+            if name == "language_id":
+                want += [(r.doc_id, r.text)] * (r.text is not None and any(map(str.isalpha, r.text)))
+            elif name == "line_dedup":
+                lines = r.text.split("\n")
+                keep = []
+                for line in lines:
+                    s = shingles(line)
+                    keep += [line] * (not s or not any(100 * len(s & o) >= 80 * len(s | o) for o in seen))
+                    seen += [s] * bool(s)
+                want += [(r.doc_id, "\n".join(keep))] * (len(keep) == len(lines) or "\n".join(keep).strip() != "")
+            elif name == "near_dedup":  # no chains here
+                s = shingles(r.text)
+                want += [(r.doc_id, r.text)] * (not any(100 * len(s & o) >= 80 * len(s | o) for o in seen))
+                seen.append(s)
+            elif name == "decontamination":
+                w, x = r.text.lower().split(), leak.split()
+                want += [(r.doc_id, r.text)] * (not any(w[a : a + 10] == x[b : b + 10] for a in range(len(w) - 9) for b in range(6)))
+        if k < 4:
+            assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(want) and len(want) < len(before)
+            assert all(r.n_chars == len(r.text) for r in docs.collect())
+        else:
+            t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+            total = Counter()
+            for r in docs.collect():
+                total[r.doc_id] += r.length
+            sizes = Counter()
+            for r in before:
+                sizes[r.doc_id] += len(t.encode(r.text, add_special_tokens=False).ids) + 1
+            assert total == sizes
+    whole_run = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, whole_run.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(str, docs.select("doc_id", "start", "length", "ids_crc32").collect()))
+    bare = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, bare, str(tmp_path)).count() == 0
