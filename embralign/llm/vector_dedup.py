@@ -133,27 +133,31 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_list: int =
 
     Links pairs found by the index with cosine >= threshold in double precision. Null, empty and zero
     vectors and those with a null or non-finite component link with nothing and are their own component;
-    vectors of different dimensions never link. A null vec_id gets nulls. Rows that repeat a vec_id are
-    vectors of their own with that id. Extra columns are ignored; an empty table gives no rows.
+    vectors of different dimensions never link. A null vec_id links as any other and names no component that
+    has another; kept is vec_id <=> component_id. Rows that repeat a vec_id are vectors of their own with that
+    id. Extra columns are ignored; an empty table gives no rows.
     The number of pivots follows the number of vectors (about `per_list` a list), up to `most_pivots`; of
     pivots with a cosine of `apart` or more one stays. `shared` above 1 drops pairs that share fewer pivots.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     e = F.col("embedding").cast("array<double>")
-    fine = F.coalesce(F.forall(e, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(e, lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
+    fine = F.coalesce(F.forall(e, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(e, lambda x: x != 0), F.lit(False))
     # zeros of either sign are equal; scaling keeps the largest component at 1, so that norms neither overflow nor vanish
     largest = F.array_max(F.transform(e, F.abs))
     rows = vectors.select("vec_id", F.when(fine, F.transform(e, lambda x: x / largest + F.lit(0.0))).alias("vector"))
-    rows = scratch.table(rows.withColumn("key", F.when(F.col("vector").isNotNull(), F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256))), "rows")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
-    classes = scratch.table(classes, "classes")
+    has = F.col("vector").isNotNull()
+    # equal vectors: equal 128 bits, two hashes with different seeds
+    rows = scratch.table(rows.withColumns({"key_a": F.when(has, F.xxhash64(F.lit(1), "vector")), "key_b": F.when(has, F.xxhash64(F.lit(2), "vector"))}), "rows")
+    keys = ["key_a", "key_b"]
+    classes = rows.where("key_a is not null").groupBy(*keys).agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
+    classes = scratch.table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     results = []
     for (width,) in classes.select(F.size("vector")).distinct().collect():
         own = classes.where(F.size("vector") == width)
         n = own.count()
         m = pivots or min(most_pivots, max(16, math.ceil(n * keep / per_list)))
-        chosen = own.orderBy(F.xxhash64("key")).limit(m).select("vector").collect()  # bounded by most_pivots
+        chosen = own.orderBy(*keys).limit(m).select("vector").collect()  # bounded by most_pivots
         p = np.array([r.vector for r in chosen], np.float64)
         p = spread(p / np.linalg.norm(p, axis=1, keepdims=True), apart)
         described = scratch.table(own.select("rep", "copies", "vector").mapInArrow(_describe(p, keep, threshold, apart), "rep long, copies long, unit binary, order array<int>"), f"described{width}")
@@ -172,11 +176,13 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_list: int =
         found = found.unionByName(more)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch).select(F.col("id").alias("rep"), "component")
-    top = classes.select("key", "rep", "copies").join(links, "rep", "left").join(parts, "rep", "left")
-    top = top.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = rows.select("vec_id", "key").join(top, "key", "left")
-    component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    parts = parts.join(classes.select("rep", "low"), "rep")
+    parts = parts.join(parts.groupBy("component").agg(F.min("low").alias("c")), "component").select("rep", "c", F.lit(True).alias("linked"))
+    top = classes.select(*keys, "rep", "low", "copies").join(links, "rep", "left").join(parts, "rep", "left")
+    top = top.select(*keys, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.when(F.col("linked"), F.col("c")).otherwise(F.col("low")).alias("c"))
+    out = rows.select("vec_id", *keys).join(top, keys, "left")
+    component = F.when(F.col("key_a").isNull(), F.col("vec_id")).otherwise(F.col("c"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
