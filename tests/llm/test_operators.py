@@ -230,7 +230,7 @@ def test_vectors(spark):
     base = RNG.standard_normal((40, 8))
     rows = [*base, base[0], base[0], *(base[:20] + 0.12 * RNG.standard_normal((20, 8))), np.zeros(8)]
     bad = [None, [], [float("nan")] * 8, [1.0, None, *[0.0] * 6], [float("inf")] * 8]
-    data = [(i, [float(x) for x in v]) for i, v in enumerate(rows)] + [(100 + i, v) for i, v in enumerate(bad)] + [(None, [1.0] * 8)]
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rows)] + [(100 + i, v) for i, v in enumerate(bad)]
     got = {r.vec_id: r for r in vector_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), block=4, pivots=6, keep=6, shared=1).collect()}
     m = np.array(rows[:-1])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -243,6 +243,14 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vectors_with_repeated_and_null_ids(spark):
+    a, b, c = np.eye(3)
+    near = a + 0.1 * b
+    rows = [(1, a), (1, near), (2, b), (2, b), (None, a), (None, c), (3, c * 5), (4, -a)]
+    got = vector_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], "vec_id long, embedding array<double>, rep int").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, 2, 1, True), (1, 2, 1, True), (2, 1, 2, True), (2, 1, 2, True), (None, 2, 1, False), (None, 1, 3, False), (3, 1, 3, True), (4, 0, 4, True)])
+
+
 def test_vectors_of_a_dense_group(spark):
     rng = np.random.default_rng(11)
     near = rng.standard_normal(64)
@@ -289,6 +297,45 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+SAID = "The house of the river is in the valley and it was for the people who came from the hills, as they have said to us."
+MORE = "It is by the old road that the millstone was found, and it was not for us to say which of the two stands there."
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Item of the menu number {i} and a few more words of the kind</a></li>" for i in range(8)) + "</ul>"
+SHAPES = [
+    (f"<div class='page has-sidebar'><div><p>{SAID}</p><p>{MORE}</p></div></div>", [SAID, MORE]),
+    (f"<div class=post><div class='entry-header'><h1>A title</h1></div><p>{SAID}</p><p>Short end.</p></div>", ["A title", SAID, "Short end."]),
+    (f"{LINKS}<div><p>{SAID}</p><p>And so on.</p><p>{MORE}</p></div>{LINKS}", [SAID, "And so on.", MORE]),
+    (f"<article><p>{SAID}</p>{LINKS}<p>{MORE}</p></article>", [SAID, MORE]),
+    (f"<p>{SAID}</p><a href=/x><div>All of the other stories that we have of the day, and it is for you to read them in the evening.</div></a><p>{MORE}</p>", [SAID, MORE]),
+    ("<div><p>Дом у реки стоит в долине, и он был построен для людей, которые пришли с холмов, как они сами рассказали нам вчера вечером у большого огня во дворе.</p></div>", ["Дом у реки стоит в долине, и он был построен для людей, которые пришли с холмов, как они сами рассказали нам вчера вечером у большого огня во дворе."]),
+    ("<body><p>One short paragraph.</p></body>", ["One short paragraph."]),
+    (f"<article><h2>Teaser</h2></article><div><p>{SAID}</p><p>{MORE}</p></div>", ["Teaser", SAID, MORE]),
+    (f"<form id=aspnet><h1>A title</h1><p>{SAID}</p></form>", ["A title", SAID]),
+    (f"<main><p>{SAID}</p><p class=alert>It is a note.</p><div class='cookie-notice'>{MORE}</div></main><div class=related-posts><p>{MORE}</p></div>", [SAID, "It is a note."]),
+    (f"<nav><p>{SAID}</p></nav><p>{MORE}</p><div class='comments-area'><p>{SAID}</p><p>{SAID}</p></div>", [MORE]),
+    (f"<table><tr><td class=sidebar>{LINKS}</td><td><h2>A title</h2><p>{SAID}</p><p>{MORE}</td></tr></table>", ["A title", SAID, MORE]),
+    ("<p hidden>No</p><div style='display:none'><p>No</p></div><p>a&lt;b&#x20AC;&nbsp;\t c</p>", ["a<b€ c"]),
+]
+
+
+def test_page_shapes():
+    for page, want in SHAPES:
+        assert html_text.main_text(page) == "\n".join(want), page
+
+
+def test_text_decides(spark):
+    """Without tags or classes the stop words decide, and many short blocks take no longer than they must."""
+    low = "lorem ipsum " * 20
+    linked = f"<p>{low}<a href=/>link</a></p>"
+    found, regions = html_text.blocks(f"<p>{SAID} {MORE}</p>{linked}")
+    html_text.classify(found, regions)
+    assert [b.label for b in found] == ["good", "bad"]
+    html_text.classify(found, regions, stop_words=frozenset("lorem ipsum".split()))
+    assert found[1].label == "good"
+    assert len(html_text.main_text("<p>few words</p>" * 20_000)) == 20_000 * 10 - 1
+    rows = spark.createDataFrame([(1, "u", f"<p>{SAID}</p>", 5)], "page_id int, url string, html string, text int")
+    assert html_text.extract(rows).first().text == SAID
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
