@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from tokenizers import Tokenizer
 
 from ._base import Scratch, partitions, read_table, ship
 from ._text import small_batches
@@ -37,16 +38,16 @@ HEAD = "<4s32sIB3x"
 HEAD_SIZE = struct.calcsize(HEAD)
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_docs: int = 2000, piece_ids: int = 2048, dict_bytes: int = 1 << 16, width: int = 2) -> bytes:
-    """A zstandard dictionary from the serialized ids of at most `sample_docs` documents, those with the smallest hashes.
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_docs: int = 2000, sample_pieces: int = 2048, piece_ids: int = 2048, dict_bytes: int = 1 << 16, width: int = 2) -> bytes:
+    """A zstandard dictionary from serialized ids of at most `sample_docs` documents, those with the smallest hashes.
 
-    The bound is the method's: training holds its sample in memory. Long documents are cut into
-    pieces of `piece_ids`; the first 256 pieces of a document count. With too little text for
-    training, the dictionary is a raw one made of the ids themselves (maybe empty).
+    Documents are cut into pieces of `piece_ids` ids; of all their pieces the `sample_pieces` with the smallest
+    hashes count, since training holds its sample in memory. Only the ratio depends on either bound. With too
+    little text for training, the dictionary is a raw one made of the ids themselves (maybe empty).
     """
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", F.substring("text", 1, 256 * piece_ids).alias("text"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    key = F.struct("doc_id", F.xxhash64("text"))
+    chosen = docs.select(F.xxhash64(key).alias("draw")).orderBy("draw").limit(sample_docs).distinct()
+    rows = docs.withColumn("draw", F.xxhash64(key)).join(F.broadcast(chosen), "draw", "left_semi").select("text")
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -59,12 +60,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, *, sample_doc
                 out += [x[i : i + piece_ids].tobytes() for i in range(0, len(x), piece_ids)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["piece"])
 
-    pieces, total, most = [], 0, 8 << 20
-    for row in rows.mapInArrow(serialize, "piece binary").toLocalIterator():
-        if total < most:
-            pieces.append(bytes(row.piece))
-            total += len(row.piece)
-    pieces.sort()
+    some = rows.mapInArrow(serialize, "piece binary").orderBy(F.xxhash64("piece"), "piece").limit(sample_pieces)
+    pieces = sorted(bytes(r.piece) for r in some.collect())  # bounded: sample_pieces * piece_ids * width bytes
     try:
         return zstandard.train_dictionary(dict_bytes, pieces).as_bytes()
     except zstandard.ZstdError:
@@ -76,11 +73,14 @@ def write_token_files(
 ) -> None:
     """docs (doc_id long, text string) -> a file set in folder; null text: the end id alone.
 
-    Rows with equal doc_id stay together, rows with a null doc_id come first. Extra columns are ignored.
+    Rows with a null doc_id come first; rows that share a doc_id follow each other in the order of their texts' hashes (so
+    even one id on very many rows is dealt to many parts). Ids must fit in `width` bytes. Extra columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
+    if max(end_id + 1, Tokenizer.from_file(tokenizer).get_vocab_size()) > 256**width:
+        raise ValueError(f"the vocabulary's ids don't fit in {width} bytes")
     dictionary = train_dictionary(docs, tokenizer, end_id, sample_docs=sample_docs, width=width)
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
@@ -115,8 +115,8 @@ def write_token_files(
         if entries:
             yield segment_row(part)
 
-    dealt = docs.repartitionByRange(parts or partitions(spark), "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    dealt.mapInArrow(run, "part int, segment long, first_start long, ids long, blob binary").write.option("compression", "none").parquet(f"{folder}/segments")
+    dealt = docs.withColumn("text_key", F.xxhash64("text")).repartitionByRange(parts or partitions(spark), "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
+    dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, "part int, segment long, first_start long, ids long, blob binary").write.option("compression", "none").parquet(f"{folder}/segments")
     spark.read.parquet(f"{folder}/segments").groupBy("part").agg(F.sum("ids").alias("ids")).coalesce(1).write.parquet(f"{folder}/parts")
 
 
