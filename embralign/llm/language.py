@@ -2,7 +2,7 @@
 
 Every language has a codeword of +1 and -1; for each bit, a logistic model on hashed n-grams of the
 whole text separates the languages with +1 from those with -1. A text's language is the codeword
-with the smallest loss, summed over bits with weights from the bits' own accuracy; several bits can
+with the smallest loss, summed over bits with weights from the bits' accuracy on rows held back; several bits can
 be wrong before another codeword is nearer. A small gap to the second codeword flags ambiguity.
 """
 
@@ -96,13 +96,18 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 250, l2: float = 1e-4) -
     return w
 
 
-def fit(x: np.ndarray, labels: list[str]) -> Model:
+def fit(x: np.ndarray, labels: list[str], back: int = 5) -> Model:
+    """A model of all rows; a bit's weight is its accuracy on every `back`-th row, by a model that didn't see those."""
     languages = sorted(set(labels))
     code = codewords(len(languages))
     y = code[[languages.index(v) for v in labels]]
-    w = logistic(x, y)
-    right = ((np.hstack([x, np.ones((len(x), 1), np.float32)]) @ w) * y > 0).mean(0)
-    return Model(languages, code, w, np.clip(2 * right - 1, 0.05, 1))
+    held = np.arange(len(x)) % back == back - 1
+    trust = np.ones(code.shape[1])
+    if held.any():
+        w = logistic(x[~held], y[~held])
+        right = ((np.hstack([x[held], np.ones((held.sum(), 1), np.float32)]) @ w) * y[held] > 0).sum(0)
+        trust = np.clip(2 * (right + 1) / (held.sum() + 2) - 1, 0.05, 1)
+    return Model(languages, code, logistic(x, y), trust)
 
 
 def identify(docs: DataFrame, labelled: DataFrame, *, per_language: int = 500, gap: float = 0.2) -> DataFrame:
@@ -110,7 +115,7 @@ def identify(docs: DataFrame, labelled: DataFrame, *, per_language: int = 500, g
 
     Learns from at most about `per_language` rows of each language, those with the smallest hashes of
     doc_id. lang_pred is `und` with score 0 for null and letterless texts, and for every text if
-    nothing is labelled. ambiguous: the best language's share of belief is less than `gap` above the second's.
+    nothing is labelled. Of codewords with equal losses the language first in order is taken. ambiguous: the best language's share of belief is less than `gap` above the second's.
     Columns lang_pred, score and ambiguous of docs, if any, are replaced; others pass through.
     """
     spark = docs.sparkSession
