@@ -330,3 +330,18 @@ def remove_repeated_lines(docs: DataFrame, *, least_words: int = WORDS, percent:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeated_lines(docs, least_words=1).select("doc_id", "text", "n_lines", "n_removed")
+
+
+#: The same over DuckDB; doc_ids are unique there. Equal lines form a class first, as they have equal sets.
+OP3_SQL = r"""
+WITH l AS (SELECT doc_id, k, x[k] AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))),
+w AS (SELECT doc_id, k, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM l),
+t AS (SELECT doc_id, k, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT s, min((doc_id, k)) AS first, len(s) AS n, row_number() OVER () AS id FROM t GROUP BY s),
+u AS (SELECT id, first, n, unnest(s) AS token FROM c),
+m AS (SELECT y.id FROM u x JOIN u y ON x.token = y.token AND x.first < y.first GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+g AS (SELECT t.doc_id, t.k FROM t JOIN c ON t.s = c.s WHERE c.id IN (SELECT id FROM m) OR (t.doc_id, t.k) <> c.first),
+o AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.k) FILTER (WHERE g.k IS NULL) AS text, count(*) AS n_lines, count(g.k) AS n_removed FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN o USING (doc_id)
+"""

@@ -20,4 +20,9 @@ QUERIES = {
     )
 }
 
-SQL = {"op5_embedding_near_dedup": vector_dedup.OP5_SQL, "op8_decontamination": decontaminate.OP8_SQL}
+SQL = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
+    "op4_minhash_near_dedup": near_dedup.OP4_SQL,
+    "op5_embedding_near_dedup": vector_dedup.OP5_SQL,
+    "op8_decontamination": decontaminate.OP8_SQL,
+}
