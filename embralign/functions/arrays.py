@@ -42,3 +42,53 @@ def finite(c: Column) -> Column:
 def arcsinh_stretch(x: Column, low: Column, high: Column, softening: float = 20.0) -> Column:
     """The share of [low, high] in [0, 1] on an inverse hyperbolic sine scale."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.asinh(softening * (x - low) / (high - low)) / F.asinh(F.lit(softening))))
+
+
+def wasserstein(a: Column, b: Column) -> Column:
+    """1-D Wasserstein distance of two samples of any sizes: the area between their distribution functions. Null if either has no finite value."""
+    a, b = (F.filter(doubles(x), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) for x in (a, b))
+    every = F.array_sort(F.concat(a, b))
+    below = lambda x, v: F.size(F.filter(x, lambda u: u <= v)) / F.size(x)
+    steps = F.transform(F.sequence(F.lit(1), F.size(every) - 1), lambda i: (F.element_at(every, i + 1) - F.element_at(every, i)) * F.abs(below(a, F.element_at(every, i)) - below(b, F.element_at(every, i))))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(steps, F.lit(0.0), lambda t, x: t + x))
+
+
+def percentile(a: Column, q: float) -> Column:
+    """Linearly interpolated percentile (0 to 1) of the non-null values of an array."""
+    a = F.array_sort(F.filter(doubles(a), lambda v: v.isNotNull() & ~F.isnan(v)))
+    at = (F.size(a) - 1) * F.lit(float(q))
+    low, high = F.element_at(a, F.floor(at).cast("int") + 1), F.element_at(a, F.ceil(at).cast("int") + 1)
+    return F.when(F.size(a) > 0, low + (high - low) * (at - F.floor(at)))
+
+
+def has_range(a: Column, low: float = 0.05, high: float = 0.99) -> Column:
+    """Whether an image's values differ between two percentiles; a flat or empty one has no dynamic range."""
+    return F.coalesce(percentile(a, low) != percentile(a, high), F.lit(False))
+
+
+def pick(bands: Column, places: list[int]) -> Column:
+    """The bands at 0-based places, in their order; a place that repeats replicates its band."""
+    return F.array(*[F.element_at(bands, i + 1) for i in places])
+
+
+def linear_stretch(x: Column, low: Column, high: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low)))
+
+
+def pool(tokens: Column, how: str = "mean") -> Column:
+    """One vector of an array of token vectors: their mean, the first or the last."""
+    if how == "first":
+        return F.element_at(tokens, 1)
+    if how == "last":
+        return F.element_at(tokens, -1)
+    if how != "mean":
+        raise ValueError(f"unknown pooling {how}")
+    zero = F.transform(F.element_at(tokens, 1), lambda x: F.lit(0.0))
+    total = F.aggregate(tokens, zero, lambda t, v: F.zip_with(t, v, lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.size(tokens))
+
+
+def windows(values: Column, width: int, step: int) -> Column:
+    """Runs of `width` values, a step apart; a rest shorter than width is left out."""
+    starts = F.when(F.size(values) >= width, F.sequence(F.lit(1), F.size(values) - width + 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(values, i, width))

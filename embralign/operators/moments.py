@@ -10,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Numbers in a tile of a partial; wider partials are added on executors, tile by tile.
+TILE = 1 << 16
+#: Stands for a null key on the way.
+NULL = "\0null\1"
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column of equally long rows as a double matrix."""
@@ -64,7 +69,7 @@ def moments_by_key(df: DataFrame, z1: str, z2: str, key: str | None = None, shif
     """Moments of (z1, z2) for each value of key (None: one entry, key None). Rows with a null vector don't count.
 
     Moments that are to be added or subtracted need one shift; without one given, it is some row.
-    Each task sends one partial row per key it has; the keys must be few (folds, properties, models).
+    Each task sends one partial per key it has, cut into tiles; the keys must be few (folds, properties, models).
     """
     rows = df.select(F.lit(None).cast("string").alias("k") if key is None else F.col(key).cast("string").alias("k"), F.col(z1).cast("array<double>").alias("z1"), F.col(z2).cast("array<double>").alias("z2")).where("z1 is not null and z2 is not null")
     head = rows.first()
@@ -76,23 +81,48 @@ def moments_by_key(df: DataFrame, z1: str, z2: str, key: str | None = None, shif
         sums: dict = {}
         for batch in batches:
             a, b = matrix(batch.column("z1")) - shift1, matrix(batch.column("z2")) - shift2
-            keys = np.array(batch.column("k").to_pylist(), object)
-            for k in set(keys.tolist()):
-                own = np.array([x == k for x in keys]) if k is not None else slice(None)
+            keys = np.array(batch.column("k").fill_null(NULL).to_pylist(), object)
+            names, code = (keys[:1], np.zeros(len(keys), int)) if key is None else np.unique(keys.astype(str), return_inverse=True)
+            for c, k in enumerate(names.tolist()):
+                own = slice(None) if len(names) == 1 else code == c
                 x, y = a[own], b[own]
                 part = [len(x), x.sum(0), y.sum(0), x.T @ x, y.T @ y, x.T @ y]
                 sums[k] = [p + q for p, q in zip(sums[k], part, strict=True)] if k in sums else part
-        out = [np.concatenate([np.ravel(p) for p in part]).tolist() for part in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(out, pa.list_(pa.float64()))], names=["k", "m"])
+        for k, part in sums.items():
+            flat = np.concatenate([np.ravel(p) for p in part]).astype(np.float64)
+            for t in range(0, len(flat), TILE):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t], pa.int64()), pa.array([flat[t : t + TILE].tobytes()], pa.binary())], names=["k", "tile", "m"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None
+        for batch in batches:
+            for k, t, m in zip(*(batch.column(c) for c in ("k", "tile", "m")), strict=True):
+                own, x = (k.as_py(), t.as_py()), np.frombuffer(m.as_buffer())
+                if held is not None and own != last:
+                    yield tile(*last, held)
+                    held = None
+                held, last = x.copy() if held is None else held + x, own
+        if held is not None:
+            yield tile(*last, held)
+
+    def tile(k: str, t: int, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t], pa.int64()), pa.array([m.tobytes()], pa.binary())], names=["k", "tile", "m"])
 
     d1, d2 = len(shift1), len(shift2)
+    kind = "k string, tile long, m binary"
+    parts = rows.mapInArrow(partial, kind)
+    width = 1 + d1 + d2 + d1 * d1 + d2 * d2 + d1 * d2
+    if width > TILE:  # else a task's partial is one small row, and the driver adds them
+        parts = parts.repartition("k", "tile").sortWithinPartitions("k", "tile").mapInArrow(added, kind)
+    total: dict = {}
+    for row in parts.toLocalIterator():
+        m = total.setdefault(row.k, np.zeros(width))
+        x = np.frombuffer(row.m)
+        m[row.tile : row.tile + len(x)] += x
     out: dict = {}
-    for row in rows.mapInArrow(partial, "k string, m array<double>").toLocalIterator():
-        m = np.array(row.m)
-        at = np.cumsum([1, d1, d2, d1 * d1, d2 * d2])
-        n, s1, s2, g11, g22, g12 = np.split(m, at)
-        part = Moments(int(n[0]), shift1, shift2, s1, s2, g11.reshape(d1, d1), g22.reshape(d2, d2), g12.reshape(d1, d2))
-        out[row.k] = out[row.k] + part if row.k in out else part
+    for k, m in total.items():
+        n, s1, s2, g11, g22, g12 = np.split(m, np.cumsum([1, d1, d2, d1 * d1, d2 * d2]))
+        out[None if k == NULL else k] = Moments(int(n[0]), shift1, shift2, s1, s2, g11.reshape(d1, d1), g22.reshape(d2, d2), g12.reshape(d1, d2))
     return out
 
 

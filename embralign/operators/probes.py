@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from . import knn, pairs
 from .metrics import contiguous_fold, fold_r2, numbered
-from .moments import Moments, moments_by_key
+from .moments import Moments, moments_by_key, paired_moments
 
 
 def clean(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -31,18 +31,80 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / n)
 
 
-def principal(m: Moments, k: int) -> Moments:
-    """Moments with the first side projected to its k leading principal axes about its mean."""
-    w, v = np.linalg.eigh(m.centred()[0])
+def principal_axes(m: Moments, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first side's mean and its k leading principal axes as columns, each with its largest component positive."""
+    _, v = np.linalg.eigh(m.centred()[0])
     v = v[:, ::-1][:, :k]
-    c = m.mean1 - m.shift1
-    s1 = (m.s1 - m.n * c) @ v
-    centre = m.g11 - np.outer(m.s1, c) - np.outer(c, m.s1) + m.n * np.outer(c, c)
-    return Moments(m.n, np.zeros(k), m.shift2, s1, m.s2, v.T @ centre @ v, m.g22, v.T @ (m.g12 - np.outer(c, m.s2)))
+    return m.mean1, v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
 
 
-def linear_probe(df: DataFrame, row_id: str, vector: str, value: str, cv: int = 5) -> dict | None:
-    """Least squares on unit vectors in contiguous folds of the cleaned rows: mean, std (ddof 0) and folds of R2; None if fewer rows than folds."""
+def projected(m: Moments, mean: np.ndarray, axes: np.ndarray) -> Moments:
+    """Moments with the first side projected to axes about mean."""
+    c = mean - m.shift1
+    s1 = (m.s1 - m.n * c) @ axes
+    g11 = m.g11 - np.outer(m.s1, c) - np.outer(c, m.s1) + m.n * np.outer(c, c)
+    return Moments(m.n, np.zeros(axes.shape[1]), m.shift2, s1, m.s2, axes.T @ g11 @ axes, m.g22, axes.T @ (m.g12 - np.outer(c, m.s2)))
+
+
+def project(df: DataFrame, vector: str, k: int, out: str = "projected", width: int | None = None) -> DataFrame:
+    """Adds the projection of each vector to the k leading principal axes about the mean, filled up with zeros to `width`.
+
+    One pass finds the axes from moments; the second is an expression with the axes as literals, so rows stay in the JVM.
+    """
+    m = paired_moments(df, vector, vector)
+    mean, axes = principal_axes(m, min(k, len(m.mean1)))
+    centred = F.zip_with(arrays.doubles(F.col(vector)), F.lit(mean.tolist()), lambda x, y: x - y)
+    parts = F.transform(F.lit(axes.T.tolist()), lambda a: arrays.dot(F.col("_centred"), a))
+    fill = max(0, (width or 0) - axes.shape[1])
+    return df.withColumn("_centred", centred).withColumn(out, F.concat(parts, F.array_repeat(F.lit(0.0), fill)) if fill else parts).drop("_centred")
+
+
+def joint_clip(df: DataFrame, values: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Rows finite in all values, each clipped to the percentiles of what is left."""
+    for v in values:
+        df = df.withColumn(v, arrays.finite(F.col(v).cast("double")))
+    df = df.dropna(subset=values)
+    edge = df.agg(*[F.percentile(v, F.array(F.lit(low), F.lit(high))).alias(f"_q_{v}") for v in values])
+    df = df.crossJoin(F.broadcast(edge))
+    return df.withColumns({v: F.greatest(F.least(F.col(v), F.col(f"_q_{v}")[1]), F.col(f"_q_{v}")[0]) for v in values}).drop(*[f"_q_{v}" for v in values])
+
+
+def probe_weights(df: DataFrame, vector: str, values: list[str]) -> np.ndarray:
+    """Least-squares weights (a column for each value) of vectors with an intercept, from one pass of moments."""
+    m = paired_moments(df.withColumn("_y", F.array(*[F.col(v).cast("double") for v in values])), vector, "_y")
+    return np.linalg.pinv(m.centred()[0]) @ m.centred()[2]
+
+
+def probe_weight_cosines(df: DataFrame, vector: str, values: list[str]) -> DataFrame:
+    """(value_a, value_b, cosine): cosines of the probes' weight vectors, within -1 and 1."""
+    w = probe_weights(df, vector, values)
+    w = w / np.maximum(np.linalg.norm(w, axis=0), 1e-12)
+    c = np.clip(w.T @ w, -1, 1)
+    return df.sparkSession.createDataFrame([(a, b, float(c[i, j])) for i, a in enumerate(values) for j, b in enumerate(values)], "value_a string, value_b string, cosine double")
+
+
+def disparities(df: DataFrame, models: list[str]) -> DataFrame:
+    """(model_a, model_b, disparity): 1-D Procrustes disparity 1 - corr^2 of all pairs of prediction columns, in one pass."""
+    pairs_of = [(a, b) for i, a in enumerate(models) for b in models[i + 1 :]]
+    one = df.agg(*[(1 - F.corr(a, b) ** 2).alias(f"_{k}") for k, (a, b) in enumerate(pairs_of)])
+    rows = F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"_{k}").alias("disparity")) for k, (a, b) in enumerate(pairs_of)])
+    return one.select(F.inline(rows))
+
+
+def run_physics(df: DataFrame, row_id: str, vector: str, values: list[str], cv: int = 5, pca_components: int | None = None) -> DataFrame:
+    """(property, fold, r2): the linear probe of every property; probe_summary() of it is the grand mean with its standard error."""
+    out = []
+    for v in values:
+        got = linear_probe(df, row_id, vector, v, cv, pca_components)
+        out += [(v, k, r2) for k, r2 in enumerate(got["folds"])] if got else []
+    return df.sparkSession.createDataFrame(out, "property string, fold int, r2 double")
+
+
+def linear_probe(df: DataFrame, row_id: str, vector: str, value: str, cv: int = 5, pca_components: int | None = None) -> dict | None:
+    """Least squares on unit vectors in contiguous folds of the cleaned rows: mean, std (ddof 0) and folds of R2; None if fewer rows than folds.
+
+    With pca_components the vectors are projected to the leading axes of each fold's training rows.
+    """
     rows = clean(df.select(row_id, unit(arrays.doubles(F.col(vector))).alias("z1"), F.col(value).alias("y")), "y")
     rows = numbered(rows, row_id)
     n = rows.count()
@@ -53,7 +115,11 @@ def linear_probe(df: DataFrame, row_id: str, vector: str, value: str, cv: int =
     total = None
     for f in folds.values():
         total = f if total is None else total + f
-    scores = [fold_r2(total, folds[k], 0.0) for k in sorted(folds, key=int)]
+    pairs_of = [(total, folds[k]) for k in sorted(folds, key=int)]
+    if pca_components is not None:
+        axes = [principal_axes(whole - test, pca_components) for whole, test in pairs_of]
+        pairs_of = [(projected(whole, *a), projected(test, *a)) for (whole, test), a in zip(pairs_of, axes, strict=True)]
+    scores = [fold_r2(whole, test, 0.0) for whole, test in pairs_of]
     return {"mean": float(np.mean(scores)), "std": float(np.std(scores)), "folds": scores}
 
 

@@ -46,3 +46,78 @@ def adjacent(df: DataFrame, keys: list[str], order: list[str], value: str) -> Da
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
+
+
+def cross_modal(scores: DataFrame, keys: list[str], modality: str, value: str) -> DataFrame:
+    """Pairs of modalities of the same model: keys, modality_a < modality_b and the two values."""
+    side = lambda x: scores.select(*keys, F.col(modality).alias(f"{modality}_{x}"), F.col(value).alias(f"{value}_{x}"))
+    return side("a").join(side("b"), keys).where(F.col(f"{modality}_a") < F.col(f"{modality}_b"))
+
+
+def score_correlation(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """Means of x and y for each key (nulls and NaN left out), then their Pearson and Spearman correlation over the keys."""
+    from ..functions.arrays import finite
+
+    means = df.groupBy(key).agg(F.avg(finite(F.col(x).cast("double"))).alias("x"), F.avg(finite(F.col(y).cast("double"))).alias("y")).where("x is not null and y is not null")
+    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2  # noqa: E731  a row for each key
+    return means.select("x", "y", rank("x").alias("rx"), rank("y").alias("ry")).agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+
+
+def mean_matrix(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """Elementwise mean of equally long vectors: keys, pos (0-based), mean."""
+    return df.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg("x").alias("mean"))
+
+
+def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+
+
+def with_counts(tasks: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct tasks with the number of blocks that each has (none: left out)."""
+    return tasks.select(*keys).distinct().join(blocks.groupBy(*keys).agg(F.count("*").alias("n_blocks")), keys)
+
+
+def in_order(df: DataFrame, column: str, order: list) -> DataFrame:
+    """Rows whose value is in a list, sorted as the list has them."""
+    places = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], [column, "_place"])
+    return df.join(F.broadcast(places), column).orderBy("_place").drop("_place")
+
+
+def truncated_pair(a: DataFrame, b: DataFrame, order_a: str, order_b: str, most_apart: float = 0.2) -> DataFrame:
+    """Rows of two tables side by side by their places, as many as the shorter has; an error if the sizes differ by over most_apart of the longer."""
+    from .metrics import numbered
+
+    n, m = a.count(), b.count()
+    if abs(n - m) > most_apart * max(n, m, 1):
+        raise ValueError(f"{n} and {m} rows are too far apart")
+    side = lambda df, order, x: numbered(df, order).select("_pos", F.struct(*df.columns).alias(x))
+    return side(a, order_a, "a").join(side(b, order_b, "b"), "_pos")
+
+
+def subsample(df: DataFrame, row_id: str, n: int, seed: int, legacy: bool = False) -> DataFrame:
+    """n rows without replacement (all if there are fewer), by row places from a seeded numpy generator, the legacy one if asked."""
+    import numpy as np
+
+    from .metrics import numbered
+
+    total = df.count()
+    if total <= n:
+        return df
+    chosen = np.random.RandomState(seed).choice(total, n, replace=False) if legacy else np.sort(np.random.default_rng(seed).choice(total, n, replace=False))
+    places = df.sparkSession.createDataFrame([(int(p),) for p in chosen], "_pos long")
+    return numbered(df, row_id).join(places, "_pos", "left_semi").drop("_pos")
+
+
+def random_pairs(df: DataFrame, row_id: str, seed: int, most: int = 50_000) -> DataFrame:
+    """(i, j): up to `most` or 20 n random pairs of different rows."""
+    import numpy as np
+
+    from .metrics import numbered
+
+    rows = numbered(df.select(row_id), row_id)
+    n = rows.count()
+    rng = np.random.default_rng(seed)
+    pairs = rng.integers(0, max(n, 1), (min(most, 20 * n), 2))
+    places = df.sparkSession.createDataFrame([(int(a), int(b)) for a, b in pairs[pairs[:, 0] != pairs[:, 1]]], "_a long, _b long")
+    side = lambda x, out: rows.select(F.col("_pos").alias(x), F.col(row_id).alias(out))
+    return places.join(side("_a", "i"), "_a").join(side("_b", "j"), "_b").select("i", "j")

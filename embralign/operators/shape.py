@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,3 +80,38 @@ def calibrate_cka_mknn(df: DataFrame, row_id: str, z1: str, z2: str, k: int = 10
     got = spark.range(-1, permutations).mapInArrow(run, "id long, cka double, mknn double").toPandas().sort_values("id")
     out = [(name, *calibrated(float(got[name].iloc[0]), got[name].to_numpy()[1:]).values()) for name in ("cka", "mknn")]
     return spark.createDataFrame(out, "metric string, score double, calibrated_score double, tau double, p_value double, null_mean double, null_std double")
+
+
+def cell_seed(seed: int, i: int, j: int) -> int:
+    """The seed of cell (i, j) of a grid of models (fixed rule: 10,000 cells a row)."""
+    return seed + 10_000 * i + j
+
+
+def calibrate(df: DataFrame, row_id: str, z1: str, z2: str, similarity: Callable[[np.ndarray, np.ndarray], float], permutations: int = 1000, seed: int = 0, alpha: float = 0.05) -> dict:
+    """Any similarity of two float32 matrices against permutations of the second one's rows: calibrated_score, p_value, threshold and the score.
+
+    Permutations run as tasks; the pair must fit an executor's memory, as the similarity needs all rows at once.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(row_id).alias("i"), arrays.doubles(F.col(z1)).alias("a"), arrays.doubles(F.col(z2)).alias("b")).orderBy("i").toPandas()
+    shared = spark.sparkContext.broadcast((np.array(rows.a.tolist(), np.float32), np.array(rows.b.tolist(), np.float32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = shared.value
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            scores = [float(similarity(a, b if p < 0 else b[np.random.default_rng([seed, p]).permutation(len(b))])) for p in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], names=["id", "score"])
+
+    got = spark.range(-1, permutations).mapInArrow(run, "id long, score double").toPandas().sort_values("id").score.to_numpy()
+    r = calibrated(float(got[0]), got[1:], alpha)
+    return {"calibrated_score": r["calibrated_score"], "p_value": r["p_value"], "threshold": r["tau"], "score": r["score"]}
+
+
+def calibration_rule(nulls: DataFrame, value: str, observed: float, alpha: float = 0.05, most: float = 1.0) -> DataFrame:
+    """The same rule over a table of null scores of any size: tau, calibrated_score, p_value, null_mean, null_std."""
+    every = nulls.select(F.col(value).cast("double").alias("x"), F.lit(False).alias("own")).unionByName(nulls.sparkSession.createDataFrame([(float(observed), True)], "x double, own boolean"))
+    null = F.when(~F.col("own"), F.col("x"))
+    got = every.agg(F.expr(f"percentile_disc({1 - alpha}) within group (order by x)").alias("tau"), F.count_if(~F.col("own") & (F.col("x") >= observed)).alias("over"), F.count(null).alias("n"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_std"))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.lit(float(observed)) - F.col("tau")) / F.greatest(most - F.col("tau"), F.lit(1e-30))))
+    return got.select("tau", score.alias("calibrated_score"), ((1 + F.col("over")) / (F.col("n") + 1)).alias("p_value"), "null_mean", "null_std")

@@ -394,7 +394,7 @@ def nonlinear_probe(s, d):
 
 @query()
 def published_probe(s, d):
-    r = probes.random_split_probe(_emb(s, d), "row_id", "z1", "y", 5, 100)
+    r = probes.random_split_probe(_emb(s, d), "row_id", "z1", "y", 10, 100)
     return s.createDataFrame([(r["mean"], r["std"], r["n"])], "mean double, std double, n long")
 
 
@@ -411,7 +411,7 @@ def anisotropy(s, d):
 
 @query()
 def calibrated_pair(s, d):
-    return shape.calibrate_cka_mknn(_emb(s, d), "row_id", "z1", "z2", 10, 50)
+    return shape.calibrate_cka_mknn(_emb(s, d), "row_id", "z1", "z2", 10, 1000)
 
 
 @query()
@@ -442,10 +442,11 @@ def candidates_topk(s, d):
     return _rounded(relational.candidates(scores, shapes, ["c_nationkey"], "c_mktsegment"), "mean_score", "mean_value")
 
 
-@query("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'b' END AS part FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'a' WHEN o_orderpriority LIKE '1%' THEN 'b' ELSE 'c' END AS part FROM orders")
 def merge_partials_dedupe(s, d):
-    o = _t(s, d, "orders").select("o_orderkey", "o_totalprice")
-    return relational.merge_partials([o.where("o_orderkey % 3 = 0").withColumn("part", F.lit("a")), o.where("o_orderkey % 2 = 0").withColumn("part", F.lit("b"))], ["o_orderkey"], "o_totalprice")
+    o = _t(s, d, "orders")
+    parts = [o.where(w).select("o_orderkey", "o_totalprice", F.lit(p).alias("part")) for p, w in (("a", "o_orderstatus = 'F'"), ("b", "o_orderpriority like '1%'"), ("c", "true"))]
+    return relational.merge_partials(parts, ["o_orderkey"], "o_totalprice")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0 AND doc_id % 10 < 5)")
@@ -503,7 +504,7 @@ def left_join_labels(s, d):
     return _t(s, d, "documents").select("doc_id", "lang").join(_t(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).cast("int").alias("quality"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_tax > 0 AND l_discount > 0 THEN -2.5 * log10(l_tax / l_discount) END, 6) AS colour, CASE WHEN l_returnflag <> 'A' THEN l_quantity END AS unflagged, CASE WHEN l_quantity > 10 THEN l_quantity END AS above FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_tax > 0 AND l_discount > 0 THEN -2.5 * log10(l_tax / l_discount) END, 6) + 0.0 AS colour, CASE WHEN l_returnflag <> 'A' THEN l_quantity END AS unflagged, CASE WHEN l_quantity > 10 THEN l_quantity END AS above FROM lineitem")
 def colour_label(s, d):
     t, x = F.col("l_tax"), F.col("l_discount")
     c = F.when((t > 0) & (x > 0), -2.5 * F.log10(t / x))
