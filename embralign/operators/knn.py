@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays
 from .blocks import against_all
+from .moments import matrix
 
 
 def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
@@ -52,6 +57,69 @@ def knn_edges(df: DataFrame, row_id: str, vector: str, k: int = 10, metric: str
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("i", "j", F.col("rank").cast("int").alias("rank"), "dist")
 
 
+def knn_edges_approximate(df: DataFrame, row_id: str, vector: str, k: int = 10, lists: int | None = None, probes: int = 16, stored: int = 2, most_lists: int = 16_384, block: int = 1024) -> DataFrame:
+    """(i, j, rank, dist): about the k nearest by cosine, from the lists of nearest reference vectors; work grows with n^1.5.
+
+    References are about sqrt(n) rows with the smallest hashes. A row is stored in the lists of its `stored` nearest and looked
+    up in those of its `probes` nearest; with probes = lists the result is exact. Lists beyond a block are dealt as pairs of blocks.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(row_id).alias("i"), arrays.doubles(F.col(vector)).alias("v")).where("v is not null and size(v) > 0")
+    m = lists or min(most_lists, math.ceil(math.sqrt(max(1, rows.count()))))
+    some = np.array([r.v for r in rows.orderBy(F.xxhash64("i"), "i").limit(m).collect()])  # bounded by most_lists
+    if not len(some):
+        return spark.createDataFrame([], "i long, j long, rank int, dist double")
+    unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) < 1e-12, 1.0, n)
+    shared, seen = spark.sparkContext.broadcast(unit(some)), min(probes, len(some))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = unit(matrix(batch.column("v")))
+            near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :seen].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(list(x)), pa.array(list(near))], names=["i", "v", "near"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            every = pa.concat_batches(held)
+            asks = every.column("asks").to_numpy(zero_copy_only=False)
+            i, x = every.column("i").to_numpy(), matrix(every.column("v"))
+            d = 1 - x[asks] @ x[~asks].T
+            d[i[asks][:, None] == i[~asks]] = np.inf
+            cut = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 :][:, :1] if d.size else np.empty((len(d), 1))
+            a, b = np.nonzero((d <= cut) & np.isfinite(d))
+            return pa.RecordBatch.from_arrays([pa.array(i[asks][a]), pa.array(i[~asks][b]), pa.array(d[a, b])], names=["i", "j", "dist"])
+
+        last = None
+        for batch in batches:
+            task = batch.column("task").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a and held and task[a] != last:
+                    yield done()
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+                    last = task[a]
+        if held:
+            yield done()
+
+    described = rows.mapInArrow(describe, "i long, v array<double>, near array<int>")
+    stores = described.select("i", "v", F.explode(F.slice("near", 1, stored)).alias("list"))
+    asks = described.select("i", "v", F.explode("near").alias("list"))
+    count = lambda t, out: t.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias(out))
+    sizes = F.broadcast(count(stores, "m").join(count(asks, "q"), "list"))  # a row for each list
+    own = lambda n: F.pmod(F.xxhash64("i"), F.col(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = stores.join(sizes, "list").select("list", "i", "v", F.lit(False).alias("asks"), own("m").alias("mb"), other("q").alias("qb"))
+    dealt = dealt.unionByName(asks.join(sizes, "list").select("list", "i", "v", F.lit(True).alias("asks"), own("q").alias("qb"), other("m").alias("mb")))
+    dealt = dealt.select(F.xxhash64("list", "mb", "qb").alias("task"), "i", "v", "asks").repartition("task").sortWithinPartitions("task")
+    found = dealt.mapInArrow(compare, "i long, j long, dist double").groupBy("i", "j").agg(F.min("dist").alias("dist"))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("i", "j", F.col("rank").cast("int").alias("rank"), "dist")
+
+
 def knn_edges_sql(df: DataFrame, row_id: str, vector: str, k: int = 10) -> DataFrame:
     """The cosine edges as expressions only (a cross-check for tests; quadratic rows)."""
     v = df.select(F.col(row_id).alias("i"), arrays.doubles(F.col(vector)).alias("a"))

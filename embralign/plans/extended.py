@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import probes, relational, shape
+from ..operators import images, knn, probes, relational, shape
 from .catalogue import _emb, _rounded, _t, query
 
 _W1 = "list_sum(list_transform(range(1, len(w)), lambda i: (w[i + 1] - w[i]) * abs(len(list_filter(a, lambda x: x <= w[i])) / len(a) - len(list_filter(b, lambda y: y <= w[i])) / len(b))))"
@@ -176,3 +176,15 @@ def json_fields(s, d):
     """Fields written as JSON and read back by their paths."""
     j = _t(s, d, "events").select("event_id", F.to_json(F.struct("event_type", F.struct("value").alias("inner"))).alias("j"))
     return _rounded(j.select("event_id", F.get_json_object("j", "$.event_type").alias("event_type"), F.from_json("j", "inner struct<value: double>")["inner"]["value"].alias("value")), "value", digits=4)
+
+
+@query()
+def knn_approximate(s, d):
+    return _rounded(knn.knn_edges_approximate(_emb(s, d), "row_id", "embedding", 10), "dist")
+
+
+@query()
+def fitted_images(s, d):
+    """Vectors as 8 x 8 images, cropped to what stands out at their centre and resized to 16 x 16."""
+    image = arrays.windows(arrays.doubles(F.col("embedding")), 8, 8)
+    return images.fit_images(_t(s, d, "embeddings").select("vec_id", image.alias("image")), "vec_id", "image", size=16).select("vec_id", "blob_size", F.size("fitted").alias("height"), F.size(F.col("fitted")[0]).alias("width"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embralign.functions import arrays
-from embralign.operators import knn, metrics, moments as moments_module, pairs, probes, relational, shape
+from embralign.operators import images, knn, metrics, moments as moments_module, pairs, probes, relational, shape
 from embralign.sources import embeddings
 from embralign.operators.moments import paired_moments
 
@@ -181,3 +181,33 @@ def test_samples_and_pairs(spark):
     assert 40 < len(pairs_of) <= 50 and all(r.i != r.j and r.i % 2 == 0 for r in pairs_of)
     with pytest.raises(ValueError):
         relational.truncated_pair(df, df.where("row_id < 60"), "row_id", "row_id")
+
+
+def test_approximate_neighbours(spark):
+    rng = np.random.default_rng(8)
+    m = np.vstack([rng.standard_normal((600, 16)), rng.standard_normal(16) + 0.2 * rng.standard_normal((600, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "row_id long, z array<double>")
+    exact = {(r.i, r.j) for r in knn.knn_edges(df, "row_id", "z", 5).collect()}
+    near = {(r.i, r.j) for r in knn.knn_edges_approximate(df, "row_id", "z", 5, block=100).collect()}
+    assert len(near) == len(exact) and len(near & exact) >= 0.9 * len(exact)
+    assert {(r.i, r.j) for r in knn.knn_edges_approximate(df, "row_id", "z", 5, lists=9, probes=9, stored=1).collect()} == exact
+    assert knn.knn_edges_approximate(df.limit(0), "row_id", "z").count() == 0
+
+
+def test_images(spark):
+    y, x = np.mgrid[:120, :120]
+    disk = (((y - 60) ** 2 + (x - 60) ** 2) < 20**2) * 1.0
+    other = (((y - 10) ** 2 + (x - 110) ** 2) < 8**2) * 1.0
+    assert images.otsu(np.r_[np.zeros(50), np.ones(30)]) < 0.5
+    assert images.centre_blob(disk + other > 0) == (int(disk.sum()), (41, 79, 41, 79)) and images.centre_blob(other > 0) == (0, None)
+    flat = np.full((30, 30), 2.0)
+    assert images.blur(flat) == pytest.approx(flat)
+    square = np.arange(12.0).reshape(3, 4)
+    twice = images.resized(square, 2)
+    assert twice.shape == (6, 8) and twice[0, 0] == 0 and twice[-1, -1] == 11 and twice[0] == pytest.approx(np.linspace(0, 3, 8))
+    rows = [(1, (disk + other).tolist()), (2, None), (3, [])]
+    got = {r.i: r for r in images.fit_images(spark.createDataFrame(rows, "i int, image array<array<double>>"), "i", "image").collect()}
+    out = np.array(got[1].fitted)
+    assert out.shape == (96, 96) and got[1].blob_size > 500 and 0.3 < out.mean() < 0.8 and out[48, 48] == 1 and out[0, 0] == 0
+    assert got[2].fitted is None and got[3].blob_size is None
+    assert images.fitted(disk, extent=(40, 79, 40, 79))[1].shape == (96, 96)
