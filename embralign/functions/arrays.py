@@ -34,6 +34,15 @@ def sorted_gap(a: Column, b: Column) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
+def digamma(n: Column) -> Column:
+    """At a positive number: ten steps up, then the asymptotic series."""
+    y = n + F.lit(10.0)
+    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8)
+    for i in range(10):
+        series = series - 1 / (n + F.lit(float(i)))
+    return series
+
+
 def finite(c: Column) -> Column:
     """NaN and infinities become null, so that SQL aggregates skip them."""
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)

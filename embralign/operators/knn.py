@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import arrays
 from .blocks import against_all
 from .moments import matrix
+from .quantiles import percentile_list
 
 
 def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
@@ -148,8 +149,8 @@ def jaccard_from_edges(edges1: DataFrame, edges2: DataFrame, k: int) -> DataFram
 def truncate_outliers(df: DataFrame, vector: str, percentile: float) -> DataFrame:
     """Clips every cell to plus or minus the percentile of absolute values over all cells."""
     cell = df.select(F.explode(F.transform(arrays.doubles(F.col(vector)), F.abs)).alias("x"))
-    bound = cell.agg(F.percentile("x", percentile / 100).alias("_bound"))
-    return df.crossJoin(F.broadcast(bound)).withColumn(vector, arrays.clipped(arrays.doubles(F.col(vector)), -F.col("_bound"), F.col("_bound"))).drop("_bound")
+    bound = percentile_list(cell.where(~F.isnan("x")), "x", [percentile / 100])
+    return df.withColumn(vector, arrays.clipped(arrays.doubles(F.col(vector)), F.lit(-bound[0]), F.lit(bound[0]))) if bound else df
 
 
 def neighbour_values(edges: DataFrame, values: DataFrame, row_id: str, value: str) -> DataFrame:
@@ -186,9 +187,10 @@ def two_nn_global(edges: DataFrame) -> DataFrame:
 def knn_purity(edges: DataFrame, values: DataFrame, row_id: str, value: str, bins: int = 20) -> DataFrame:
     """(i, purity): the share of neighbours in the row's own quantile bin; right-open bins, outer edges widened by 1e-9."""
     q = [k / bins for k in range(bins + 1)]
-    edge = values.agg(F.percentile(value, F.array(*map(F.lit, q))).alias("q"), F.count(value).alias("valid"))
     v = F.col(value)
-    inner = F.aggregate(F.filter(F.slice("q", 2, bins - 1), lambda e: e <= v), F.lit(0), lambda s, e: s + 1)
-    binned = values.where(v.isNotNull()).crossJoin(F.broadcast(edge)).where(F.col("valid") >= 5 * bins).select(F.col(row_id).alias("i"), inner.alias("bin"))
+    enough = values.where(v.isNotNull()).count() >= 5 * bins
+    edges_of = percentile_list(values, value, q) if enough else [0.0] * (bins + 1)
+    inner = F.size(F.filter(F.lit(edges_of[1:-1]), lambda e: e <= v))
+    binned = values.where(v.isNotNull() & F.lit(enough)).select(F.col(row_id).alias("i"), inner.alias("bin"))
     pairs = edges.select("i", "j").join(binned, "i").join(binned.select(F.col("i").alias("j"), F.col("bin").alias("other")), "j")
     return pairs.groupBy("i").agg(F.avg(F.when(F.col("bin") == F.col("other"), 1.0).otherwise(0.0)).alias("purity"))

@@ -10,20 +10,25 @@ from ..functions import arrays
 from . import knn, pairs
 from .metrics import contiguous_fold, fold_r2, numbered
 from .moments import Moments, moments_by_key, paired_moments
+from .quantiles import percentile_list
 
 
 def clean(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows with a finite value inside the inclusive percentiles of the finite values."""
     v = df.withColumn(value, arrays.finite(F.col(value).cast("double")))
-    edge = v.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return v.crossJoin(F.broadcast(edge)).where(F.col(value).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    edge = percentile_list(v, value, [low, high])
+    return v.where(F.col(value).between(*edge)) if edge else v.where(F.lit(False))
 
 
 def winsorise(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, keep: Column | None = None) -> DataFrame:
     """Clips to the percentiles instead of dropping; rows that aren't finite (or fail `keep`) go."""
     v = df.withColumn(value, arrays.finite(F.col(value).cast("double"))).where(F.col(value).isNotNull() if keep is None else F.col(value).isNotNull() & keep)
-    edge = v.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return v.crossJoin(F.broadcast(edge)).withColumn(value, F.greatest(F.least(F.col(value), F.col("_q")[1]), F.col("_q")[0])).drop("_q")
+    edge = percentile_list(v, value, [low, high])
+    return v.withColumn(value, _within(value, edge)) if edge else v
+
+
+def _within(value: str, edge: list[float]) -> Column:
+    return F.greatest(F.least(F.col(value), F.lit(edge[1])), F.lit(edge[0]))
 
 
 def unit(v: Column) -> Column:
@@ -64,9 +69,8 @@ def joint_clip(df: DataFrame, values: list[str], low: float = 0.01, high: float
     for v in values:
         df = df.withColumn(v, arrays.finite(F.col(v).cast("double")))
     df = df.dropna(subset=values)
-    edge = df.agg(*[F.percentile(v, F.array(F.lit(low), F.lit(high))).alias(f"_q_{v}") for v in values])
-    df = df.crossJoin(F.broadcast(edge))
-    return df.withColumns({v: F.greatest(F.least(F.col(v), F.col(f"_q_{v}")[1]), F.col(f"_q_{v}")[0]) for v in values}).drop(*[f"_q_{v}" for v in values])
+    edges = {v: percentile_list(df, v, [low, high]) for v in values}
+    return df.withColumns({v: _within(v, edge) for v, edge in edges.items() if edge})
 
 
 def probe_weights(df: DataFrame, vector: str, values: list[str]) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import knn, metrics, pairs, probes, relational, shape
 from ..operators.moments import paired_moments
+from ..operators.quantiles import percentiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -356,9 +357,7 @@ def mutual_information(s, d):
     f"WITH {E_SQL}, c AS (SELECT greatest(-1, least(0.9999999, list_cosine_similarity(p.a, q.a))) AS x FROM e p JOIN e q ON p.i < q.i) SELECT floor((x + 1) * 50)::INTEGER AS bin, count(*)::BIGINT AS n FROM c GROUP BY 1"
 )
 def histogram_100(s, d):
-    p = pairs.pair_distances(_emb(s, d), "row_id", "z1", "z2", ("cosine", "cosine"))
-    x = F.greatest(F.lit(-1.0), F.least(F.lit(0.9999999), 1 - F.col("d1")))
-    return p.groupBy(F.floor((x + 1) * 50).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return pairs.cosine_histogram(_emb(s, d), "row_id", "z1")
 
 
 # ---- cleaning, probes and shape
@@ -458,9 +457,8 @@ def pending_tasks(s, d):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 4) AS p1, round(quantile_cont(l_extendedprice, 0.05), 4) AS p5, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1")
 def band_percentiles(s, d):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.01), F.lit(0.05), F.lit(0.99)))
-    g = _t(s, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q"))
-    return _rounded(g.select("l_returnflag", *[F.col("q")[i].alias(n) for i, n in enumerate(("p1", "p5", "p99"))]), "p1", "p5", "p99", digits=4)
+    found = percentiles(_t(s, d, "lineitem"), "l_extendedprice", [0.01, 0.05, 0.99], ("l_returnflag",))
+    return _rounded(s.createDataFrame([(*k, *q) for k, q in found.items()], "l_returnflag string, p1 double, p5 double, p99 double"), "p1", "p5", "p99", digits=4)
 
 
 @query(
@@ -468,7 +466,8 @@ def band_percentiles(s, d):
 )
 def arcsinh_stretch(s, d):
     l = _t(s, d, "lineitem")
-    q = l.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    found = percentiles(l, "l_extendedprice", [0.01, 0.99], ("l_returnflag",))
+    q = s.createDataFrame([(*k, q) for k, q in found.items()], "l_returnflag string, q array<double>")
     x = arrays.arcsinh_stretch(F.col("l_extendedprice"), F.col("q")[0], F.col("q")[1])
     return l.join(F.broadcast(q), "l_returnflag").groupBy("l_returnflag", F.least(F.lit(255), F.floor(255 * x)).cast("int").alias("level")).agg(F.count("*").alias("n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import images, knn, probes, relational, shape
+from ..operators.quantiles import percentiles
 from .catalogue import _emb, _rounded, _t, query
 
 _W1 = "list_sum(list_transform(range(1, len(w)), lambda i: (w[i + 1] - w[i]) * abs(len(list_filter(a, lambda x: x <= w[i])) / len(a) - len(list_filter(b, lambda y: y <= w[i])) / len(b))))"
@@ -188,3 +189,25 @@ def fitted_images(s, d):
     """Vectors as 8 x 8 images, cropped to what stands out at their centre and resized to 16 x 16."""
     image = arrays.windows(arrays.doubles(F.col("embedding")), 8, 8)
     return images.fit_images(_t(s, d, "embeddings").select("vec_id", image.alias("image")), "vec_id", "image", size=16).select("vec_id", "blob_size", F.size("fitted").alias("height"), F.size(F.col("fitted")[0]).alias("width"))
+
+
+@query(
+    "WITH e AS (SELECT vec_id AS i, embedding::DOUBLE[] AS v, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS u FROM embeddings), "
+    "x AS (SELECT i, unnest(v) AS x, generate_subscripts(v, 1) AS c FROM e), s AS (SELECT p.c = q.c AS own, covar_samp(p.x, q.x) AS v FROM x p JOIN x q USING (i) GROUP BY p.c, q.c), "
+    "g AS (SELECT p.i, list_distance(p.v, q.v) AS d, row_number() OVER (PARTITION BY p.i ORDER BY list_distance(p.v, q.v)) AS r FROM e p JOIN e q ON p.i <> q.i) "
+    "SELECT 'mean_l2_norm' AS statistic, round(avg(sqrt(list_sum(list_transform(v, lambda x: x * x)))), 6) AS value FROM e UNION ALL "
+    "SELECT 'anisotropy', round(avg(list_dot_product(p.u, q.u)), 6) FROM e p JOIN e q ON p.i < q.i UNION ALL "
+    "SELECT 'participation_ratio', round(sum(v) FILTER (own) ** 2 / sum(v * v), 6) FROM s UNION ALL SELECT 'knn_dist_p50', round(quantile_disc(d, 0.5), 6) FROM g WHERE r = 10"
+)
+def shape_moments(s, d):
+    """The shape statistics that need no spectrum: the ratio of squared trace to squared norm is the participation ratio."""
+    found = shape.shape_statistics(_emb(s, d), "row_id", "embedding")
+    return _rounded(found.where(F.col("statistic").isin("mean_l2_norm", "anisotropy", "participation_ratio", "knn_dist_p50")), "value")
+
+
+@query(
+    "SELECT l_linestatus, l_returnflag, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.999), 4) AS p999 FROM lineitem GROUP BY 1, 2"
+)
+def percentiles_by_keys(s, d):
+    found = percentiles(_t(s, d, "lineitem"), "l_extendedprice", [0.5, 0.999], ("l_linestatus", "l_returnflag"))
+    return _rounded(s.createDataFrame([(*k, *q) for k, q in found.items()], "l_linestatus string, l_returnflag string, median double, p999 double"), "median", "p999", digits=4)
