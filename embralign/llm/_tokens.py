@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -31,6 +32,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The pattern of the pre-tokenizer that cuts words out of lower-cased text.
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_known(settings: dict) -> bool:
+    """Whether a tokenizer is of one of the two kinds whose splitting places the encoder knows."""
+    model, before, normal = settings["model"], settings.get("pre_tokenizer") or {}, settings.get("normalizer")
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or settings.get("truncation") or settings.get("padding"):
+        return False
+    if before.get("type") == "ByteLevel":
+        return normal is None and bool(before.get("use_regex", True)) and not before["add_prefix_space"]
+    if before.get("type") != "Sequence" or len(before["pretokenizers"]) != 2 or not normal or normal.get("type") != "Sequence":
+        return False
+    cut, level = before["pretokenizers"]
+    words = cut.get("type") == "Split" and cut["pattern"] == {"Regex": _WORDS} and cut["behavior"] == "Removed" and cut["invert"]
+    plain = level.get("type") == "ByteLevel" and not level["use_regex"] and not level["add_prefix_space"]
+    return bool(words and plain and [n["type"] for n in normal["normalizers"]] == ["NFC", "Replace", "Lowercase"])
+
+
 def _byte_symbols() -> dict[int, str]:
     """The byte-level vocabularies' symbol of each byte: itself if it prints, else the next from U+0100."""
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -48,13 +68,15 @@ class Encoder:
     where a run of letters ends, and after a lone line feed, and no merge crosses a split. So a
     text's ids are those of its pieces between such places, and pieces repeat far more often than
     texts. A new piece that is one plain word goes straight to the library's model, another through
-    all of it. Texts with control characters or letters beyond Latin are encoded as they are.
+    all of it. Texts with control characters or letters beyond Latin are encoded as they are, and so
+    are all texts if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.lower = self.tokenizer.normalizer is not None
+        self.by_pieces = splits_known(json.loads(self.tokenizer.to_str()))
         self._forget()
 
     def _forget(self) -> None:
@@ -132,6 +154,11 @@ class Encoder:
         data, offsets = as_bytes(column)
         ids, counts = [], []
         for a, b in text_slices(offsets):
+            if not self.by_pieces:
+                got = self.encode([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(a, b)])
+                ids += got
+                counts.append(np.array([len(x) for x in got], np.int64))
+                continue
             part, offs = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             bad = _class[part] == _ODD
             lead = part >= 0xC0
