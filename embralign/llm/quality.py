@@ -103,6 +103,14 @@ class Neighbours:
         for a in range(0, len(z), 256):
             cosine = z[a : a + 256] @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            own = np.take_along_axis(cosine, near, 1)
+            edge = own.min(1, keepdims=True)
+            torn = np.flatnonzero((cosine == edge).sum(1) > (own == edge).sum(1))  # some of equal similarities are in, some out
+            if len(torn):
+                above, ties = cosine[torn] > edge[torn], cosine[torn] == edge[torn]
+                first = ties & (np.cumsum(ties, axis=1) <= k - above.sum(1, keepdims=True))
+                near[torn] = np.nonzero(above | first)[1].reshape(-1, k)
+            near.sort(axis=1)
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** 4 + 1e-9
             out[a : a + 256] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return out

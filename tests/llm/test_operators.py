@@ -287,6 +287,54 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h2
 <section id="comments"><article class="comment"><p>I think that the house of the river is not in the valley and that it was for the others.</p></article></section><footer>&copy; x</footer><script>var a = "</p>";</script></body></html>"""
 
 
+@pytest.mark.parametrize("k", [1, 4, 15, 99])
+def test_equal_neighbours_count_in_order(k):
+    from embralign.llm.quality import Neighbours
+
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.abs(rng.normal(size=(12, quality.DIMENSIONS))).astype(np.float32), 5, axis=0)  # each row five times
+    labels = rng.integers(0, 2, len(x))
+    model = Neighbours(x, labels)
+    got = model.score(x[::5], k)
+    z = model._unit((x[::5] * model.weight) @ model.project)
+    for i, cosine in enumerate(z @ model.vectors.T):
+        near = np.argsort(-cosine, kind="stable")[:k]
+        w = np.maximum(cosine[near], 0) ** 4 + 1e-9
+        assert got[i] == pytest.approx(float((w * labels[near]).sum() / w.sum()), abs=1e-5)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokenizers_of_another_kind(name, tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from embralign.llm._tokens import Encoder, tokenizer_path
+
+    assert Encoder(tokenizer_path(name)).by_pieces
+    settings = json.load(open(tokenizer_path(name), encoding="utf-8"))
+    settings["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}
+    path = str(tmp_path / name)
+    json.dump(settings, open(path, "w", encoding="utf-8"))
+    other, library = Encoder(path), Tokenizer.from_file(path)
+    texts = ["", "a plain text, of words", None, "two\n\nlines  and\tmore", "word " * 50]
+    ids, counts = other.many(pa.array(texts, pa.string()))
+    want = [[] if t is None else library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not other.by_pieces and ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace as Fake
+
+    from embralign.llm._base import shared_folder
+
+    unset = Fake(get=lambda key, default=None: default)
+    cluster = Fake(conf=unset, sparkContext=Fake(getConf=lambda: unset, master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+
+
 def test_html(spark):
     want = "A & B\nThe house of the river is in the valley and it was for the people who came from the hills, as they have said to us.\nShort one.\nIt is by the old road that the millstone was found, and it was not for us to say which of the two stands there."
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p"), (5, "u", PAGE[: PAGE.index("<aside")]), (6, "u", "<!-- x"), (7, "u", "<div>" * 3000)]
