@@ -224,12 +224,16 @@ def _graphs(df: DataFrame, ids: str, k: int, truncate: float) -> tuple[DataFrame
 
 def _mknn(m, df, ids, k: int = 10, truncate_percentile: float = 100) -> float:
     a, b, k = _graphs(df, ids, k, truncate_percentile)
-    return knn.mknn_from_edges(a, b, k).first().mknn
+    found = knn.mknn_from_edges(a, b, k).first().mknn
+    a.unpersist(), b.unpersist()
+    return found
 
 
 def _jaccard(m, df, ids, k: int = 10) -> float:
     a, b, k = _graphs(df, ids, k, 100)
-    return knn.jaccard_from_edges(a, b, k).first().jaccard
+    found = knn.jaccard_from_edges(a, b, k).first().jaccard
+    a.unpersist(), b.unpersist()
+    return found
 
 
 def _moments_only(f: Callable) -> Callable:

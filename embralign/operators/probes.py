@@ -140,6 +140,7 @@ def random_split_probe(df: DataFrame, row_id: str, vector: str, value: str, runs
     split = df.sparkSession.createDataFrame(tests, "_pos long, run int")
     total = moments_by_key(rows, "z1", "z2")[None]
     folds = moments_by_key(rows.join(F.broadcast(split), "_pos"), "z1", "z2", "run", (total.shift1, total.shift2))
+    rows.unpersist()
     scores = [fold_r2(total, folds[str(r)], 0.0) for r in range(runs)]
     return {"mean": float(np.mean(scores)), "std": float(np.std(scores)), "n": n}
 
@@ -151,14 +152,15 @@ def nonlinear_probe(df: DataFrame, vector: str, value: str, row_id: str, cv: int
     from pyspark.ml.regression import GBTRegressor
 
     rows = numbered(clean(df.select(row_id, F.col(vector).alias("v"), F.col(value).alias("y")), "y"), row_id)
-    rows = rows.select("_pos", "y", array_to_vector(arrays.doubles(F.col("v"))).alias("raw")).persist()
-    rows = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(rows).transform(rows)
+    held = rows.select("_pos", "y", array_to_vector(arrays.doubles(F.col("v"))).alias("raw")).persist()
+    rows = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(held).transform(held)
     rows = rows.withColumn("_fold", contiguous_fold(F.col("_pos"), rows.count(), cv))
     scores = []
     for k in range(cv):
         model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, subsamplingRate=0.8, stepSize=0.1, seed=42).fit(rows.where(F.col("_fold") != k))
         got = model.transform(rows.where(F.col("_fold") == k)).agg(F.sum((F.col("y") - F.col("prediction")) ** 2).alias("r"), (F.var_pop("y") * F.count("y")).alias("t")).first()
         scores.append(1 - got.r / got.t)
+    held.unpersist()
     return {"mean": float(np.mean(scores)), "std": float(np.std(scores)), "folds": scores}
 
 

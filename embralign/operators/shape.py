@@ -35,6 +35,7 @@ def shape_statistics(df: DataFrame, row_id: str, vector: str, k: int = 10) -> Da
         "knn_dist_p50": p50,
         "intrinsic_dim_two_nn": knn.two_nn_global(edges).first().dimension,
     }
+    edges.unpersist()
     return df.sparkSession.createDataFrame(list(out.items()), "statistic string, value double")
 
 
