@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -109,7 +109,8 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
             p, inv = powers(len(code) + 1)
             total = np.empty(len(code) + 1, U)
             total[0] = 0
-            np.cumsum(code.astype(U) * p[: len(code)], out=total[1:])
+            np.multiply(code, p[: len(code)], out=total[1:])
+            np.cumsum(total[1:], out=total[1:])
             hashes.append(mix((total[ends] - total[begins]) * inv[begins] + (ends - begins).astype(U)))
             starts_all.append(begins + lo)
             counts[a:b] += np.bincount(np.searchsorted(offsets[a + 1 : b + 1], begins + lo, side="right"), minlength=b - a)[: b - a]

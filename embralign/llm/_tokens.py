@@ -130,7 +130,9 @@ class Encoder:
         p, inv = powers(n + 1)
         total = np.empty(n + 1, U)
         total[0] = 0
-        np.cumsum((data.astype(U) + U(1)) * p[:n], out=total[1:])
+        np.add(data, U(1), out=total[1:])
+        total[1:] *= p[:n]
+        np.cumsum(total[1:], out=total[1:])
         h = mix((total[end] - total[at]) * inv[at] + (end - at).astype(U))
         distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) > CACHE:

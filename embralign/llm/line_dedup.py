@@ -111,7 +111,7 @@ def _postings(order, least: int, percent: int, parts: int, most: int = 1 << 20):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met = np.empty(0, np.int64)  # sorted
         held, size = [], 0
         for batch in small_batches(batches, "text"):
             _, _, tokens, n = lines_of(batch.column("text"), least)
@@ -119,11 +119,12 @@ def _postings(order, least: int, percent: int, parts: int, most: int = 1 << 20):
             tokens, n = tokens[np.repeat(partner, n)], n[partner]
             key = line_key(tokens, n)
             if len(met) > 1 << 20:
-                met.clear()
+                met = met[:0]
             fresh = np.zeros(len(key), bool)
             fresh[np.unique(key, return_index=True)[1]] = True
-            fresh &= np.array([k not in met for k in key.tolist()], bool)
-            met.update(key[fresh].tolist())
+            if len(met):
+                fresh &= met[np.minimum(np.searchsorted(met, key), len(met) - 1)] != key
+            met = np.sort(np.concatenate([met, key[fresh]]))
             tokens, n, key = tokens[np.repeat(fresh, n)], n[fresh], key[fresh]
             tokens = sort_by_group((order.value[(tokens >> U(46)).astype(np.int64)] << U(46)) | (tokens & U((1 << 46) - 1)), n)
             rank = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
