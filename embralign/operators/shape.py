@@ -15,6 +15,14 @@ from . import knn
 from .moments import paired_moments
 
 
+def anisotropy(df: DataFrame, vector: str) -> float:
+    """Mean cosine of all pairs, from the sum of unit vectors alone."""
+    v = arrays.doubles(F.col(vector))
+    u = paired_moments(df.select(F.transform(v, lambda x: x / arrays.norm(v)).alias("u")), "u", "u")
+    s, *_ = u.raw()
+    return float((s @ s - u.n) / (u.n * (u.n - 1)))
+
+
 def shape_statistics(df: DataFrame, row_id: str, vector: str, k: int = 10) -> DataFrame:
     """(statistic, value): norm, anisotropy over all pairs, spectrum shape, lower median k-th neighbour distance, TwoNN dimension."""
     v = arrays.doubles(F.col(vector))
@@ -24,11 +32,9 @@ def shape_statistics(df: DataFrame, row_id: str, vector: str, k: int = 10) -> Da
     p = w / w.sum()
     edges = knn.knn_edges(df, row_id, vector, k, "euclidean").persist()
     p50 = edges.where(F.col("rank") == k).agg(F.expr("percentile_disc(0.5) within group (order by dist)").alias("x")).first().x
-    u = paired_moments(df.select(F.transform(v, lambda x: x / arrays.norm(v)).alias("u")), "u", "u")
-    s, *_ = u.raw()
     out = {
         "mean_l2_norm": mean_norm,
-        "anisotropy": float((s @ s - m.n) / (m.n * (m.n - 1))),
+        "anisotropy": anisotropy(df, vector),
         "participation_ratio": float(w.sum() ** 2 / (w**2).sum()),
         "top_eigval_ratio": float(w.max() / w.sum()),
         "effective_rank": float(np.exp(-(p[p > 0] * np.log(p[p > 0])).sum())),
